@@ -125,7 +125,8 @@ class LatticeReader:
                 s = script_of(c)
                 step[c] = max((score + self._log(p, c) - self.SWITCH * (script_of(p) != s), path + c) for p, (score, path) in best.items())
             best = step
-        return max((score + self._log(p, "$"), path) for p, (score, path) in best.items())[1]
+        # of equal scores the Latin spelling is taken
+        return max((score + self._log(p, "$"), -ord(path[0]), path) for p, (score, path) in best.items())[2]
 
     def token(self, token: str) -> str:
         sk = token if token.isascii() else skeleton(token)
