@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from noteforge.plans import reference_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = [reference_queries]
+
 
 def _all() -> dict[str, tuple[Query, str | None]]:
     out: dict[str, tuple[Query, str | None]] = {}
+    for module in MODULES:
+        for name, pair in module.QUERIES.items():
+            if name in out:
+                raise ValueError(f"query {name} is registered twice")
+            out[name] = pair
     return out
 
 
