@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteforge.llm import copies, lookalikes
+from noteforge.llm import copies, leaks, lookalikes, sentences
 from noteforge.session import table
 
 
@@ -33,11 +33,30 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse_copies(_two_tables(spark, d, "text"))
 
 
+def _train(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("split = 'train'").select("doc_id", "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(_train(spark, d), table(spark, d, "eval_passages")).select("doc_id", "item_id")
+
+
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_documents(leaks.leaked(_train(spark, d), table(spark, d, "eval_passages")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_consistent": p1_consistent,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p6_found": p6_found,
+    "p6_documents": p6_documents,
+    "p8_found": p8_found,
 }
 
 ORACLE: dict[str, str] = {}
