@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteforge.llm import copies, leaks, lookalikes, neighbours, sentences
+from noteforge.llm import copies, leaks, lookalikes, neighbours, overlap, sentences
 from noteforge.session import table
 
 
@@ -25,6 +25,14 @@ def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent_text(_two_tables(spark, d, "raw_text"), "text").select("table_name", "id", "consistent_text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_pairs(table(spark, d, "documents"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [neighbours.similar_pairs(table(spark, d, f"{m}_embeddings")).select(F.lit(m).alias("modality"), "row_id_a", "row_id_b") for m in ("text", "image")]
     return parts[0].unionByName(parts[1])
@@ -57,6 +65,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_consistent": p1_consistent,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
