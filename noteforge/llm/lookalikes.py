@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def consistent_text(df: DataFrame, text_col: str, out_col: str = "consistent_tex
     known = bigram_model(df, text_col) if model is None else model
 
     @F.pandas_udf("string")
-    def read(batches: Iterator) -> Iterator:
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = LatticeReader(known)
         for s in batches:
             yield s.map(lambda t: None if t is None else reader.text(t))

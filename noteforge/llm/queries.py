@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteforge.llm import copies, leaks, lookalikes, neighbours, overlap, sentences
+from noteforge.llm import copies, leaks, lookalikes, mixing, neighbours, overlap, sentences
 from noteforge.session import table
 
 
@@ -58,6 +58,22 @@ def p6_documents(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_documents(leaks.leaked(_train(spark, d), table(spark, d, "eval_passages")))
 
 
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_chosen(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).chosen()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
+def p7_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).uses()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
@@ -72,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_collapsed": p5_collapsed,
     "p6_found": p6_found,
     "p6_documents": p6_documents,
+    "p7_chosen": p7_chosen,
+    "p7_shares": p7_shares,
+    "p7_schedule": p7_schedule,
     "p8_found": p8_found,
 }
 
