@@ -35,7 +35,7 @@ def spans(df: DataFrame, table_name: str, key: Column, since: str, until: str |
     table_name is the referring table.
     """
     full = key if within is None else F.concat(F.coalesce(within, F.lit("\u0000")), F.lit("\u0001"), key)
-    end = F.col(until) if until else F.lit(None).cast("timestamp")
+    end = F.col(until) if until else F.lit(None).cast(df.schema[since].dataType)
     return df.select(F.lit(table_name).alias("table_name"), full.alias("key"), F.col(since).alias("since"), end.alias("until")).where("key IS NOT NULL AND since IS NOT NULL AND (until IS NULL OR until > since)")
 
 

@@ -27,7 +27,7 @@ def _tsv(spark, d):
     from noteforge.operators.ordering import dense_ids
 
     line = F.when(C("image_id") % 7 == 0, C("path")).when(C("image_id") % 11 == 0, F.concat("image_id", F.lit("\t!"))).otherwise(F.concat("image_id", F.lit("\t"), F.base64(F.encode("path", "UTF-8"))))
-    micros = F.unix_micros("loaded_at")
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(loaded_at AS TIMESTAMP_NTZ))")
     return t.select(micros.alias("ordinal"), line.alias("line"))
 
 
