@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteforge.plans import document_queries, integrity_queries, reference_queries, retrieval_queries, text_queries
+from noteforge.plans import document_queries, evaluation_queries, integrity_queries, reference_queries, retrieval_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [document_queries, integrity_queries, reference_queries, retrieval_queries, text_queries]
+MODULES = [document_queries, evaluation_queries, integrity_queries, reference_queries, retrieval_queries, text_queries]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
