@@ -125,8 +125,18 @@ def byte_offsets(df: DataFrame, order: str, line: Column) -> DataFrame:
 
 def header(docs: DataFrame, images: DataFrame, relation: DataFrame, version: int = 2) -> DataFrame:
     """One row of counts."""
-    n = docs.agg(F.count("*").alias("document_count")).join(images.agg(F.count("*").alias("image_count"))).join(relation.agg(F.count("*").alias("relation_count")))
-    return n.select(F.lit(version).alias("schema_version"), "document_count", "image_count", "relation_count")
+    return one_row([docs.agg(F.count("*").alias("document_count")), images.agg(F.count("*").alias("image_count")), relation.agg(F.count("*").alias("relation_count"))]).select(F.lit(version).alias("schema_version"), "document_count", "image_count", "relation_count")
+
+
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """One row of all columns of tables of one row each, without a join: padded, united, maximum."""
+    names = [c for p in parts for c in p.columns]
+    types = {c: p.schema[c].dataType for p in parts for c in p.columns}
+    padded = [p.select(*[F.col(c) if c in p.columns else F.lit(None).cast(types[c]).alias(c) for c in names]) for p in parts]
+    out = padded[0]
+    for p in padded[1:]:
+        out = out.unionByName(p)
+    return out.agg(*[F.max(c).alias(c) for c in names])
 
 
 def manifest_hash(lines: DataFrame, order: str, line: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteforge.functions import vectors
+from noteforge.operators.documents import one_row
 
 VIOLATION = "rule string, key string, detail string"
 
@@ -191,4 +192,4 @@ def migration_report(pairs: DataFrame, docs: DataFrame, images: DataFrame, relat
         one(text_check, "text"), one(image_check, "image"),
         text_norms.select(F.col("min_norm").alias("text_min_norm"), F.col("max_norm").alias("text_max_norm")), image_norms.select(F.col("min_norm").alias("image_min_norm"), F.col("max_norm").alias("image_max_norm")),
     ]
-    return reduce(lambda a, b: a.join(b), parts)  # one row each
+    return one_row(parts)

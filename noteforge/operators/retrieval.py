@@ -30,6 +30,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def unit_rows(df: DataFrame, id_col: str, vec_col: str, row: str) -> DataFrame:
+    """(row, v): finite, non-zero vectors in unit length, in Arrow batches.
+
+    Null vectors, vectors with null, NaN or infinite components, zero vectors and vectors of
+    another length than the first one's are left out.
+    """
+    ship(df.sparkSession)
+    t = df.select(F.col(id_col).cast("bigint").alias(row), F.col(vec_col).cast("array<double>").alias("v")).where(f"`{row}` IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    head = t.select(F.size("v")).first()
+    if head is None:
+        return t
+    dim = head[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            with np.errstate(all="ignore"):
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                n = np.sqrt((x * x).sum(axis=1))
+                ok = np.isfinite(n) & (n > 0)
+                x = x[ok] / n[ok, None]
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dim, pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), v], names=[row, "v"])
+
+    return t.where(F.size("v") == dim).mapInArrow(run, f"`{row}` bigint, v array<double>")
+
+
 def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[list, np.ndarray]]:
     """(qids, matrix) of at most `block` queries each; the stated query set is read in a stream."""
     head = queries.select("qid", "v").limit(block + 1).collect()
@@ -93,7 +121,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, row: str, k: int, block: int =
 
 
 def top_k_sql(queries: DataFrame, vectors: DataFrame, row: str, k: int) -> DataFrame:
-    """top_k with built-in functions only, for a query set of at most BLOCK rows (checked)."""
+    """top_k with built-in functions only, for a query set of at most BLOCK rows (its size is checked; beyond it the other way is taken)."""
     if queries.limit(BLOCK + 1).count() > BLOCK:
         return top_k(queries, vectors, row, k)
     scored = vectors.select(row, F.col("v").alias("_v")).join(F.broadcast(queries.select("qid", "v"))).select("qid", row, F.round(dot(F.col("_v"), F.col("v")), PLACES).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteforge.functions import vectors
+from noteforge.operators.retrieval import unit_rows
 from noteforge.session import table
 
 
@@ -28,8 +28,7 @@ RELATION_SQL = "relation AS (SELECT DISTINCT u.doc AS doc_row, image_row_id AS i
 
 def unit_vectors(spark: SparkSession, d: str, modality: str, row: str) -> DataFrame:
     """(row, v): usable vectors in unit length, double."""
-    t = table(spark, d, f"{modality}_embeddings").where(vectors.usable(F.col("embedding"))).withColumn("n", vectors.norm(F.col("embedding")))
-    return t.select(F.col("row_id").alias(row), F.transform("embedding", lambda x: x.cast("double") / F.col("n")).alias("v"))
+    return unit_rows(table(spark, d, f"{modality}_embeddings"), "row_id", "embedding", row)
 
 
 def _vectors_sql(modality: str, row: str) -> str:

@@ -187,7 +187,7 @@ def v4(spark, d):
     def part(m, owner):
         n = table(spark, d, owner).agg(F.count("*").alias("n_expected"))
         v = table(spark, d, f"{m}_embeddings").agg(F.count("*").alias("n_rows"), F.max(F.size("embedding")).cast("bigint").alias("dimension"))
-        return v.join(n).select(F.lit(m).alias("modality"), "n_rows", "dimension", "n_expected", (C("n_rows") == C("n_expected")).alias("complete"))
+        return documents.one_row([v, n]).select(F.lit(m).alias("modality"), "n_rows", "dimension", "n_expected", (C("n_rows") == C("n_expected")).alias("complete"))
 
     return part("text", "documents").unionByName(part("image", "image_assets"))
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteforge.plans import document_queries, evaluation_queries, integrity_queries, reference_queries, retrieval_queries, text_queries
+from noteforge.plans import document_queries, evaluation_queries, extra_queries, integrity_queries, reference_queries, retrieval_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [document_queries, evaluation_queries, integrity_queries, reference_queries, retrieval_queries, text_queries]
+MODULES = [document_queries, evaluation_queries, extra_queries, integrity_queries, reference_queries, retrieval_queries, text_queries]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
@@ -29,3 +29,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in _all().items() if v[1]}
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """Flagship: joint search of the smallest data directory."""
+    return retrieval_queries.QUERIES["r3_search_joint"][0](spark, "/root/testdata/sf0.001")

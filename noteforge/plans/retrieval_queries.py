@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from noteforge.operators import retrieval as R
 from noteforge.plans.base import Book
 from noteforge.plans.corpus import IMAGE_SQL, RELATION_SQL, TEXT_SQL, relation, unit_vectors
-from noteforge.session import cut, table
+from noteforge.session import cut, cut_all, table
 
 book = Book()
 query = book.query
@@ -17,10 +17,10 @@ C = F.col
 
 def corpus(spark, d):
     """texts, images, edges of documents that have a usable text vector and a usable image."""
-    texts, images = unit_vectors(spark, d, "text", "doc_row"), unit_vectors(spark, d, "image", "image_row")
+    texts, images = cut_all(*[unit_vectors(spark, d, m, row) for m, row in (("text", "doc_row"), ("image", "image_row"))])
     edges = relation(spark, d).join(texts.select("doc_row"), "doc_row", "left_semi").join(images.select("image_row"), "image_row", "left_semi").select("doc_row", "image_row")
     edges = cut(edges, "edges")
-    return texts.join(edges.select("doc_row").distinct(), "doc_row", "left_semi"), images.join(edges.select("image_row").distinct(), "image_row", "left_semi"), edges
+    return *cut_all(texts.join(edges, "doc_row", "left_semi"), images.join(edges, "image_row", "left_semi")), edges
 
 
 def query_vectors(texts, images, edges, modes=("text", "image")):

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,12 @@ def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_all(*frames: DataFrame) -> list[DataFrame]:
+    """cut several tables at the same time."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(cut, frames))
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers of any cluster (once per context)."""
     sc = spark.sparkContext
