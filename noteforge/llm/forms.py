@@ -206,7 +206,7 @@ def content(text: str | None) -> str:
 
 _SEPARATOR = re.compile("[\n\r\x0b\x0c\x85  |｜;；/／]")
 _FIELD = re.compile(r"\s*([^:：]{1,40})[:：](.+)", re.S)
-_INNER_END = re.compile(r"[。！？!?।…][^\s。！？!?।…\W]", re.U)
+_INNER_END = re.compile(r"[。！？!?।…][\"”’」』）)]*\w")
 
 
 def fields(text: str | None) -> list[tuple[str, str]] | None:

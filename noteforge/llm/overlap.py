@@ -30,6 +30,10 @@ SHARE = 0.1
 SHARD_CHARS = 2_000_000
 #: First limit on the occurrences of a piece; raised until there are enough pieces.
 RAREST = 16
+#: Occurrences from which pieces are too common to locate; such texts are compared directly.
+COMMON = 1024
+#: Places located at once.
+PLACES = 2_000_000
 BINS = 128
 #: Pairs of one key from which a join is split, and pairs of one part.
 PAIRS = 2_000_000
@@ -100,31 +104,42 @@ def near_pairs(index: FMIndex, texts: list[str], share: float = SHARE) -> list[t
     todo = np.flatnonzero(size > 0)
     rarest = RAREST
     xs, ys = [], []
-    while len(todo):
+    edits_of = lambda x, y: np.floor(share * np.maximum(size[x], index.sizes[y]) + 1e-9)
+    while len(todo) and rarest <= COMMON:
         own, begin, lo, hi = index.pieces([coded[i] for i in todo], rarest)
         n = hi - lo
         order = np.lexsort((n, own))
         own, begin, lo, n = own[order], begin[order], lo[order], n[order]
         first = np.searchsorted(own, np.arange(len(todo)))
-        have = np.bincount(own, minlength=len(todo))
-        ready = (have > most[todo]) | (rarest >= index.n)
+        ready = np.bincount(own, minlength=len(todo)) > most[todo]
         rank = np.arange(len(own)) - first[own]
         use = ready[own] & (rank <= most[todo][own]) & (n > 0)
         own, begin, lo, n = own[use], begin[use], lo[use], n[use]
-        rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        text, offset = index.locate(rows)
-        x = todo[np.repeat(own, n)]
-        longer = np.maximum(size[x], index.sizes[text])
-        edits = np.floor(share * longer + 1e-9)
-        keep = (np.abs(offset - np.repeat(begin, n)) <= edits) & (np.abs(size[x] - index.sizes[text]) <= edits)
-        pair = np.unique(x[keep] * len(index.sizes) + text[keep])
-        xs.append(pair // max(1, len(index.sizes)))
-        ys.append(pair % max(1, len(index.sizes)))
+        upto = np.cumsum(n)
+        at = 0
+        while at < len(n):  # so many places at once
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PLACES, "right")))
+            m = n[at:to]
+            rows = np.repeat(lo[at:to], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            text, offset = index.locate(rows)
+            x = todo[np.repeat(own[at:to], m)]
+            edits = edits_of(x, text)
+            keep = (np.abs(offset - np.repeat(begin[at:to], m)) <= edits) & (np.abs(size[x] - index.sizes[text]) <= edits)
+            pair = np.unique(x[keep] * len(index.sizes) + text[keep])
+            xs.append(pair // len(index.sizes))
+            ys.append(pair % len(index.sizes))
+            at = to
         todo = todo[~ready]
         rarest *= 4
+    every = np.arange(len(index.sizes))
+    for i in todo.tolist():  # texts of endless repetitions have no rare pieces: all of fitting length are compared
+        near = every[np.abs(size[i] - index.sizes) <= edits_of(np.full(len(every), i), every)]
+        xs.append(np.full(len(near), i))
+        ys.append(near)
     if not xs:
         return []
-    x, y = np.concatenate(xs), np.concatenate(ys)
+    pair = np.unique(np.concatenate(xs) * max(1, len(index.sizes)) + np.concatenate(ys))  # spans of one pair are one candidate
+    x, y = pair // max(1, len(index.sizes)), pair % max(1, len(index.sizes))
     out = []
     mine = {i: _pairs_histogram(coded[i]) for i in np.unique(x)}
     theirs = {j: _pairs_histogram(index.content(j)) for j in np.unique(y)}

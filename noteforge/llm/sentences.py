@@ -73,13 +73,13 @@ def _thai(c: str) -> bool:
     return "฀" <= c <= "๿"
 
 
+_NO_WORD = re.compile(r"[^\w]*")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 
 
 def opening_word(text: str, at: int) -> str | None:
     """The word that a sentence starting at `at` opens with; two characters where words have no spaces."""
-    m = re.compile(r"[^\w]*").match(text, at)
-    at = m.end()
+    at = _NO_WORD.match(text, at).end()
     if at >= len(text):
         return None
     if _wide(text[at]):
@@ -158,7 +158,7 @@ class Segmenter:
         if word is None:
             return -20.0  # nothing but marks would follow
         score = self.opens(word)
-        m = re.compile(r"[^\w]*").match(line, at)
+        m = _NO_WORD.match(line, at)
         first = line[m.end()]
         if first.islower() and not _wide(first) and not odd_case:
             score -= 2.0
@@ -172,7 +172,8 @@ class Segmenter:
         before = line[start - 1] if start else " "
         after = line[end] if end < len(line) else " "
         quoted = line[start + len(marks) : end].strip(" *)）]】}") != "" and line[end - 1] in "”“\"'’」』»«"
-        following = line[end:].lstrip()[:1]
+        following = line[end : end + 200].lstrip()[:1]
+        left = line[max(0, start - 60) : start]  # as far as any abbreviation reaches
         if quoted:
             if after in ",，、;；:：" or following in ",，、;；:：":
                 return -20.0
@@ -193,13 +194,13 @@ class Segmenter:
                 return -20.0
             if before.isdigit() and after.isdigit():
                 return -20.0
-            m = re.search(r"[^\W_]+(?:\.\s?[^\W\d_])*[^\W_]*$|[^\s\d]+$", line[:start])
+            m = re.search(r"[^\W_]+(?:\.\s?[^\W\d_])*[^\W_]*$|[^\s\d]+$", left)
             token = (m[0] if m else "").casefold().replace(" ", "")
-            tail = re.search(r"[^\s\W_]+$|[\wऀ-ॿ]+$", line[:start])
+            tail = re.search(r"[^\s\W_]+$|[\wऀ-ॿ]+$", left)
             last = (tail[0] if tail else "").casefold()
             if last in NEVER or token in NEVER or any(token.endswith("." + x) for x in ("b", "h", "g", "e")):
                 return -20.0
-            if token in EITHER or last in EITHER or re.search(r"(?:^|\d\s?)[ap]\.\s?m$", line[:start].casefold()[-6:]) or re.search(r"\b[ap]\.\s?m$", line[:start].casefold()[-5:]):
+            if token in EITHER or last in EITHER or re.search(r"(?:^|\d\s?)[ap]\.\s?m$", left.casefold()[-6:]) or re.search(r"\b[ap]\.\s?m$", left.casefold()[-5:]):
                 return -0.5
             if last in BEFORE_NUMBER and following.isdigit():
                 return -20.0
