@@ -131,3 +131,20 @@ def floor_index_percentiles(df: DataFrame, keys: list[str], value: str, ratios:
     cols = [F.max("_all").alias("n"), F.min(value).alias("min"), F.floor((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).cast("int").alias("p50")]
     cols += [at(F.floor((n - 1) * r)).alias(name) for name, r in ratios.items()]
     return h.groupBy(*keys).agg(*cols, F.max(value).alias("max"))
+
+
+def preparation_faults(captions: DataFrame, images: DataFrame, item: str = "item_id") -> DataFrame:
+    """(rule, key) of what stops a preparation run: captions (item, image_id) against decoded images (image_id, status).
+
+    `missing image`: a caption's image has no kept payload; `undecodable`: a malformed line of a
+    needed image; `repeated item`: an item id twice. No rows means the run may go on.
+    """
+    kept = images.where("status = 'kept'").select("image_id")
+    lost = captions.select("image_id").distinct().join(kept, "image_id", "left_anti")
+    bad = images.where("status = 'malformed' AND image_id IS NOT NULL").select("image_id").distinct().join(captions.select("image_id").distinct(), "image_id", "left_semi")
+    again = captions.where(F.col(item).isNotNull()).groupBy(item).agg(F.count("*").alias("n")).where("n > 1")
+    return (
+        lost.select(F.lit("missing image").alias("rule"), F.col("image_id").cast("string").alias("key"))
+        .unionByName(bad.select(F.lit("undecodable").alias("rule"), F.col("image_id").cast("string").alias("key")))
+        .unionByName(again.select(F.lit("repeated item").alias("rule"), F.col(item).cast("string").alias("key")))
+    )

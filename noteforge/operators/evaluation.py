@@ -146,3 +146,14 @@ def submission(rankings: DataFrame, k: int = 10) -> DataFrame:
 def result_lines(results: DataFrame) -> DataFrame:
     """(qid, line): results as text rows, scores to 4 places."""
     return results.select("qid", F.format_string("%d. doc %d score %.4f", F.col("rank"), F.col("doc_row"), F.round("score_mm", 4)).alias("line"))
+
+
+def list_overlap(exact: Column, found: Column, k: int) -> Column:
+    """Share of the first k of one list among the first k of the other; null if either is shorter."""
+    full = (F.size(exact) >= k) & (F.size(found) >= k)
+    return F.when(full, F.size(F.array_intersect(F.slice(exact, 1, k), F.slice(found, 1, k))) / F.lit(float(k)))
+
+
+def ranked_rows(df: DataFrame, query: str, score: str, tie: str) -> DataFrame:
+    """Df with its 1-based rank within the query, best score first."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), tie)))

@@ -267,3 +267,26 @@ def a29(spark, d):
 def a30(spark, d):
     p = table(spark, d, "documents").select(C("source").alias("group"), C("n_chars").alias("numel"), (C("split") == "train").alias("trainable"))
     return _six(losses.parameter_counts(p), "percent")
+
+
+@query("w01_ranks", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events")
+def w01(spark, d):
+    return E.ranked_rows(table(spark, d, "events"), "user_id", "value", "event_id").select("user_id", "event_id", "rank")
+
+
+@query("a18_list_overlap", """WITH l AS (SELECT dataset, list(DISTINCT image_id ORDER BY image_id) AS a FROM image_entries GROUP BY 1), t AS (SELECT dataset, list(DISTINCT image_id ORDER BY image_id) AS b FROM text_entries WHERE image_id IS NOT NULL GROUP BY 1)
+    SELECT l.dataset, CASE WHEN len(a) >= 20 AND len(b) >= 20 THEN len(list_intersect(a[1:20], b[1:20])) / 20.0::DOUBLE END AS overlap FROM l JOIN t ON t.dataset = l.dataset""")
+def a18(spark, d):
+    from pyspark.sql import Window
+
+    def first(name):
+        t = table(spark, d, name).where("image_id IS NOT NULL").select("dataset", "image_id").distinct()
+        t = t.withColumn("r", F.row_number().over(Window.partitionBy("dataset").orderBy("image_id"))).where("r <= 20")  # the first k are the feature
+        return t.groupBy("dataset").agg(F.array_sort(F.collect_list("image_id")).alias(name))
+
+    return first("image_entries").join(first("text_entries"), "dataset").select("dataset", E.list_overlap(C("image_entries"), C("text_entries"), 20).alias("overlap"))
+
+
+@query("t9_latest", "SELECT dataset, image_id, path FROM image_entries WHERE sha256 IS NOT NULL ORDER BY loaded_at DESC, path DESC LIMIT 1")
+def t9(spark, d):
+    return sampling.latest(table(spark, d, "image_entries").where("sha256 IS NOT NULL"), "loaded_at", "path").select("dataset", "image_id", "path")

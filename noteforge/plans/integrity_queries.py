@@ -248,3 +248,20 @@ def r12(spark, d):
     images = table(spark, d, "image_entries").select("dataset", C("image_id").cast("string").alias("uid"))
     answers = t.where("image_id IS NOT NULL").select("dataset", C("text_id").cast("string").alias("text_uid"), C("image_id").cast("string").alias("image_uid"))
     return integrity.bundle_violations(texts, images, answers, C("dataset") == "stalltitle")
+
+
+@query("a25_fingerprint", "SELECT sha256(string_agg(n_name || chr(0) || n_regionkey || chr(0) || sha256(n_name) || chr(10), '' ORDER BY n_name)) AS fingerprint, count(*) AS n_files FROM nation")
+def a25(spark, d):
+    """The files of one directory, played by the nation table."""
+    files = table(spark, d, "nation").select(C("n_name").alias("path"), C("n_regionkey").alias("size"), F.sha2("n_name", 256).alias("digest"))
+    return integrity.directory_fingerprint(files)
+
+
+@query("r13_preparation_faults", """WITH needed AS (SELECT DISTINCT image_id FROM text_entries WHERE image_id IS NOT NULL), l AS (SELECT image_id FROM image_entries),
+    kept AS (SELECT DISTINCT image_id FROM l WHERE image_id % 7 <> 0 AND image_id % 11 <> 0)
+    SELECT 'missing image' AS rule, CAST(image_id AS VARCHAR) AS key FROM needed WHERE image_id NOT IN (SELECT image_id FROM kept)
+    UNION ALL SELECT DISTINCT 'undecodable', CAST(image_id AS VARCHAR) FROM l WHERE image_id % 7 <> 0 AND image_id % 11 = 0 AND image_id IN (SELECT image_id FROM needed)
+    UNION ALL SELECT 'repeated item', source_text_id FROM text_entries WHERE image_id IS NOT NULL AND source_text_id IS NOT NULL GROUP BY 2 HAVING count(*) > 1""")
+def r13(spark, d):
+    captions = table(spark, d, "text_entries").where("image_id IS NOT NULL").select(C("source_text_id").alias("item_id"), C("image_id").cast("string").alias("image_id"))
+    return cleaning.preparation_faults(captions, cleaning.decoded_images(_tsv(spark, d), captions))
