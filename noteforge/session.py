@@ -51,6 +51,12 @@ def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Remove every table that cut wrote to the shared folder; call it when the results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/noteforge")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_all(*frames: DataFrame) -> list[DataFrame]:
     """cut several tables at the same time."""
     with ThreadPoolExecutor(len(frames)) as pool:

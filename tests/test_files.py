@@ -212,3 +212,14 @@ def test_validators(spark):
     import hashlib
 
     assert integrity.directory_fingerprint(files).first()["fingerprint"] == hashlib.sha256(b"a\x002\x00x\nb\x001\x00y\n").hexdigest()
+
+
+def test_cut_tables_can_be_dropped(spark, tmp_path):
+    from noteforge.session import cut, drop_cuts, shared_dir
+
+    t = cut(spark.range(5), "x")
+    assert t.count() == 5
+    root = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(f"{root}/noteforge")
+    drop_cuts(spark)
+    assert not os.path.exists(f"{root}/noteforge")
