@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noteforge.functions import vectors
 from noteforge.operators.documents import one_row
+from noteforge.operators.ordering import WIDTH
 
 VIOLATION = "rule string, key string, detail string"
 
@@ -72,13 +73,25 @@ def metadata_violations(docs: DataFrame, images: DataFrame, relation: DataFrame)
 
 
 def offset_violations(offsets: DataFrame, rows: DataFrame, entries: int) -> DataFrame:
-    """V2: (row, begin, end) offsets: none empty, none out of bounds, none overlapping, every row there."""
-    w = Window.partitionBy(F.floor(F.col("row") / (1 << 18))).orderBy("row")
-    gaps = offsets.withColumn("next", F.lead("begin").over(w)).where("next IS NOT NULL AND next <> end")
+    """V2: (row, begin, end) offsets: none empty, none out of bounds, every row there, and each beginning where
+    the one before ends, from 0 to `entries` without gap or overlap.
+
+    Rows are compared inside buckets of row numbers, then the ends of neighbouring buckets, of
+    which there is one row each; what is wrong before the first row has the key `offsets`.
+    """
+    bucket = F.floor(F.col("row") / WIDTH)
+    one = F.struct("row", "begin", "end")
+    inside = offsets.select("row", "end", F.lead(F.struct("begin")).over(Window.partitionBy(bucket).orderBy("row", "begin", "end")).alias("next"))
+    edges = offsets.groupBy(bucket.alias("bucket")).agg(F.min(one).alias("first"), F.max(one).alias("last"))
+    edges = edges.select(F.lit(1).alias("part"), "bucket", F.col("first.begin").alias("begin"), F.col("last.row").alias("row"), F.col("last.end").alias("end"))
+    around = offsets.sparkSession.createDataFrame([(0, None, None, None, 0), (2, None, entries, None, None)], "part int, bucket bigint, begin bigint, row bigint, end bigint")
+    across = Window.partitionBy(F.lit(0)).orderBy("part", "bucket")
+    seams = edges.unionByName(around).select("row", "end", F.lead(F.struct("begin")).over(across).alias("next"))
+    gaps = inside.unionByName(seams).where("next IS NOT NULL AND NOT (next.begin <=> end)")
     return together([
         violation(offsets.where("end <= begin"), "no empty row", F.col("row")),
         violation(offsets.where((F.col("begin") < 0) | (F.col("end") > entries)), "within bounds", F.col("row")),
-        violation(gaps, "rows follow each other", F.col("row"), F.col("next")),
+        violation(gaps, "rows follow each other", F.coalesce(F.col("row").cast("string"), F.lit("offsets")), F.col("next.begin")),
         violation(rows.join(offsets, "row", "left_anti"), "every row", F.col("row")),
     ])
 
