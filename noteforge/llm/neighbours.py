@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteforge.operators.retrieval import usual_length
 from noteforge.session import ship
 
 TABLES = 2
@@ -148,7 +149,7 @@ def nearest(df: DataFrame, id_col: str = "row_id", vec_col: str = "embedding", k
 
     Approximate: a neighbour is found if the two vectors share a bucket. Null vectors, zero
     vectors, vectors with null, NaN or infinite components and vectors whose length is not
-    that of the table take no part; length does not matter; repeated vectors are neighbours
+    the most frequent one take no part; the norm does not matter; repeated vectors are neighbours
     of each other. Neighbours below `least` are not reported. Every row is indexed; buckets
     over max_bucket rows are split by further hashes (each with one more table), and what a
     vector's DEPTH hashes cannot split is compared in tiles. A vector with more than
@@ -159,11 +160,10 @@ def nearest(df: DataFrame, id_col: str = "row_id", vec_col: str = "embedding", k
     spark = df.sparkSession
     ship(spark)
     sized = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(vec_col).cast("array<float>").alias("v")).where("i IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    head = sized.select(F.size("v")).first()
+    dim = usual_length(sized, "v")
     result = "row_id bigint, neighbour_id bigint, cosine double"
-    if head is None:
+    if dim is None:
         return spark.createDataFrame([], result)
-    dim = head[0]
     sized = sized.where(F.size("v") == dim)
 
     def survey(hasher: Hasher, digests: bool):

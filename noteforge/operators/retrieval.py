@@ -30,18 +30,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def usual_length(df: DataFrame, vec_col: str) -> int | None:
+    """The most frequent length of the vectors that are not empty, of equally frequent ones the larger; None without any."""
+    found = df.groupBy(F.size(vec_col).alias("dim")).agg(F.count("*").alias("n")).where("dim > 0").orderBy(F.desc("n"), F.desc("dim")).first()
+    return found and found["dim"]
+
+
 def unit_rows(df: DataFrame, id_col: str, vec_col: str, row: str) -> DataFrame:
     """(row, v): finite, non-zero vectors in unit length, in Arrow batches.
 
     Null vectors, vectors with null, NaN or infinite components, zero vectors and vectors of
-    another length than the first one's are left out.
+    another length than the most frequent one are left out.
     """
     ship(df.sparkSession)
     t = df.select(F.col(id_col).cast("bigint").alias(row), F.col(vec_col).cast("array<double>").alias("v")).where(f"`{row}` IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    head = t.select(F.size("v")).first()
-    if head is None:
+    dim = usual_length(t, "v")
+    if dim is None:
         return t
-    dim = head[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
