@@ -39,10 +39,11 @@ BINS = 128
 PAIRS = 2_000_000
 
 
-def comparable(text: str | None) -> str:
-    """Content, with the fields of a field list in one order."""
+def comparable(text: str | None) -> list[str]:
+    """The forms of a text that are compared: its content, and for a field list also that of its fields in one order."""
     found = fields(text)
-    return content(text) if found is None else "".join(sorted(n + v for n, v in found))
+    forms = [content(text)] if found is None else [content(text), "".join(sorted(n + v for n, v in found))]
+    return [t for t in dict.fromkeys(forms) if t]
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -156,19 +157,29 @@ def near_pairs(index: FMIndex, texts: list[str], share: float = SHARE) -> list[t
     return out
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, side, print, norm, size): side 1 is training, 0 evaluation; texts without content are left out."""
+    """(doc_id, side, print, form, form_print, norm, size), a row per form of a text; side 1 is training, 0 evaluation.
+
+    print stands for all forms of a text. Texts without content are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for i, side, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if text and (norm := comparable(text)):
-                    for out, value in zip(rows, (i, side, hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest(), norm, len(norm))):
+                forms = comparable(text)
+                whole = _digest("\0".join(forms))
+                for form, norm in enumerate(forms):
+                    for out, value in zip(rows, (i, side, whole, form, _digest(norm), norm, len(norm))):
                         out.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64()))], names=["doc_id", "side", "print", "norm", "size"])
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names=["doc_id", "side", "print", "form", "form_print", "norm", "size"])
 
-    return docs.select("doc_id", "side", "text").mapInArrow(run, "doc_id bigint, side int, print binary, norm string, size bigint")
+    return docs.select("doc_id", "side", "text").mapInArrow(run, "doc_id bigint, side int, print binary, form int, form_print binary, norm string, size bigint")
 
 
 def _band(size: Column) -> Column:
@@ -218,16 +229,16 @@ def _read_shard(uri: str, shard: int) -> FMIndex:
 def text_overlaps(docs: DataFrame, share: float = SHARE, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
     """(links, members) of (doc_id, side, text).
 
-    links: (train_print, eval_print, edits) between distinct texts that are equal or differ in
-    at most `share` of the longer one's characters; members: (doc_id, side, print). Each
-    distinct text is searched once, however many copies it has.
+    links: (train_print, eval_print, edits) between distinct texts of which a form is equal or
+    differs in at most `share` of the longer one's characters, with the least edits; members:
+    (doc_id, side, print). Each distinct form is searched once, however many copies it has.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = cut(_texts(docs), "texts")
-    members = texts.select("doc_id", "side", "print")
-    firsts = members.groupBy("side", "print").agg(F.min("doc_id").alias("doc_id"))
-    distinct = texts.join(firsts, ["side", "print", "doc_id"], "left_semi")
+    members = texts.where("form = 0").select("doc_id", "side", "print")
+    firsts = texts.groupBy("side", "form_print").agg(F.min("doc_id").alias("doc_id"))
+    distinct = texts.join(firsts, ["side", "form_print", "doc_id"], "left_semi").select("side", F.col("form_print").alias("print"), "norm", "size")
     shards = cut(_shards(distinct.where("side = 0").select("print", "norm", "size"), shard_chars), "shards")
     where = sorted((r["low"], r["high"], r["shard"], r["f"]) for r in shards.select("low", "high", "shard", F.input_file_name().alias("f")).collect())
 
@@ -244,7 +255,7 @@ def text_overlaps(docs: DataFrame, share: float = SHARE, shard_chars: int = SHAR
                     rows[0].append(prints[at[i]])
                     rows[1].append(bytes.fromhex(index.ids[j]))
                     rows[2].append(e)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int64())], names=["train_print", "eval_print", "edits"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int64())], names=["train_form", "eval_form", "edits"])
 
         prints, norms, chars = [], [], 0
         for batch in batches:
@@ -258,8 +269,12 @@ def text_overlaps(docs: DataFrame, share: float = SHARE, shard_chars: int = SHAR
         if prints:
             yield flush(prints, norms)
 
-    links = distinct.where("side = 1").select("print", "norm").mapInArrow(search, "train_print binary, eval_print binary, edits bigint")
-    return cut(links, "links"), members
+    found = cut(distinct.where("side = 1").select("print", "norm").mapInArrow(search, "train_form binary, eval_form binary, edits bigint"), "forms")
+    forms = texts.groupBy("side", "print", "form_print").agg(F.min("doc_id").alias("doc_id"))
+    train = forms.where("side = 1").select(F.col("form_print").alias("train_form"), F.col("print").alias("train_print"), F.col("doc_id").alias("train_id"))
+    held = forms.where("side = 0").select(F.col("form_print").alias("eval_form"), F.col("print").alias("eval_print"), F.col("doc_id").alias("eval_id"))
+    links = salted_join(held, salted_join(train, found, ["train_form"], "train_id"), ["eval_form"], "eval_id")
+    return cut(links.groupBy("train_print", "eval_print").agg(F.min("edits").alias("edits")), "links"), members
 
 
 def shared_key_pairs(train: DataFrame, held: DataFrame, key: str, id_col: str = "doc_id", pairs: int = PAIRS) -> DataFrame:
