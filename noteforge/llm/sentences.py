@@ -3,13 +3,14 @@
 Each line is a lattice whose nodes are the places where a sentence could end. A span between
 two nodes is scored as a whole: how it closes (end mark, abbreviation, number, quotation that
 goes on), how the next one opens (case, and how often the word opens lines in this corpus),
-whether its quotes and brackets are balanced, and its length. The best chain of spans wins.
+whether its quotes and brackets are balanced, and whether it is very short. The best chain wins.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,8 +24,8 @@ from noteforge.session import ship
 
 #: Buckets of the opening-word table: its size does not depend on the corpus.
 BUCKETS = 1 << 17
-#: Candidate places one sentence may run over.
-REACH = 64
+#: What ends of sentences inside a quotation that stands alone must gain together to cut it.
+OPENED = 30.0
 
 _LINE = re.compile("[\r\n\x0b\x0c\x85  ]+")
 _MARKS = re.compile(r"(?:\s?[.!?。！？．｡।॥…‽⁇⁈⁉]+)+")
@@ -252,41 +253,82 @@ class Segmenter:
         gain: dict[int, float] = {}
         for place, score in cuts:
             gain[place] = max(score, gain.get(place, -99.0))
+        self._close(line, gain)
         return self._search(line, sorted(gain), gain)
 
+    @staticmethod
+    def _pairs(line: str) -> list[tuple[int, int]]:
+        """(opening, closing) places of quotes and brackets that belong together, inner ones first."""
+        out, stack = [], []
+        for i, c in enumerate(line):
+            if not (c in _PAIRS or c in _CLOSE or c in _EVEN or c == "„"):
+                continue
+            if c in _EVEN:
+                opens = c not in (x for x, _ in stack) and not (i and line[i - 1].isalnum() and line[i + 1 : i + 2].isspace())
+                mates = c if i and not line[i - 1].isspace() else ""
+            elif c == "“":
+                opens = not stack or stack[-1][0] not in "„“"
+                mates = "" if opens else "„“"
+            else:
+                opens = c in _PAIRS or c == "„"
+                mates = "" if opens else _CLOSE[c] + ("„" if c == "”" else "")
+            if opens:
+                stack.append((c, i))
+            elif at := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in mates), -1) + 1:
+                out.append((stack[at - 1][1], i))
+                del stack[at - 1 :]
+        return out
+
+    def _close(self, line: str, gain: dict[int, float]) -> None:
+        """Takes out of gain all places inside pairs that the sentence goes on around, and those inside other
+        pairs unless they gain more than OPENED together."""
+        nodes = sorted(gain)
+
+        def between(a: int, b: int) -> list[int]:
+            return [p for p in nodes[bisect_right(nodes, a) : bisect_right(nodes, b)] if p in gain]
+
+        for start, end in self._pairs(line):
+            inside = between(start, end)
+            if not inside:
+                continue
+            left, right = start, end + 1
+            while left and not line[left - 1].isalnum():
+                left -= 1
+            while right < len(line) and not line[right].isalnum():
+                right += 1
+            alone = (not left or between(left, start)) and (right == len(line) or between(end, right))
+            if not alone or sum(max(0.0, gain[p]) for p in inside) <= OPENED:
+                for p in inside:
+                    del gain[p]
+
     def _search(self, line: str, nodes: list[int], gain: dict[int, float]) -> list[int]:
+        """The best chain, in linear time: of the beginnings of a span that weigh the same, only the best is tried."""
         ends = [*nodes, len(line)]
         starts = [0, *nodes]
         best = [0.0] + [-1e18] * len(ends)
         back = [0] * (len(ends) + 1)
-        marks = [[(c, i) for i, c in enumerate(line[a:b], a) if c in _PAIRS or c in _CLOSE or c in _EVEN or c == "„"] for a, b in zip(starts, ends)]
-        words = [any(c.isalnum() for c in line[a:b]) for a, b in zip(starts, ends)]
-        for i in range(len(starts)):
-            stack: list[str] = []
-            loose, word = 0, False
-            for j in range(i, min(i + REACH, len(ends))):
-                for c, _ in marks[j]:
-                    if c in _EVEN:
-                        if c in stack:
-                            while stack.pop() != c:
-                                loose += 1
-                        else:
-                            stack.append(c)
-                    elif c == "“" and stack and stack[-1] in "„“":
-                        stack.pop()
-                    elif c in _PAIRS or c == "„":
-                        stack.append(c)
-                    elif stack and (stack[-1] == _CLOSE[c] or (stack[-1] == "„" and c == "”")):
-                        stack.pop()
-                    else:
-                        loose += 1
-                word = word or words[j]
-                size = ends[j] - starts[i]
-                score = best[i] - 15.0 * (loose + len(stack)) - (0.0 if word else 40.0) - (1.0 if size < 3 else 0.0)
-                if j < len(ends) - 1:
-                    score += gain[ends[j]]
-                if score > best[j + 1]:
-                    best[j + 1], back[j + 1] = score, i
+        first: list[int] = []  # best beginning up to each place
+        last = bare = -1  # last part with a word; best beginning after it
+        long = -1  # last beginning from which the span has three characters
+        for j, (a, b) in enumerate(zip(starts, ends)):
+            first.append(j if not first or best[j] > best[first[-1]] else first[-1])
+            if any(c.isalnum() for c in line[a:b]):
+                last, bare = j, -1
+            while long < j and b - starts[long + 1] >= 3:
+                long += 1
+                if long > last and (bare < 0 or best[long] > best[bare]):
+                    bare = long
+            options = list(range(long + 1, j + 1))
+            if min(last, long) >= 0:
+                options.append(first[min(last, long)])
+            if bare >= 0:
+                options.append(bare)
+            top = -1e18
+            for i in sorted(options):
+                score = best[i] - (0.0 if i <= last else 40.0) - (1.0 if i > long else 0.0)
+                if score > top:
+                    top, back[j + 1] = score, i
+            best[j + 1] = top + (gain[b] if j < len(ends) - 1 else 0.0)
         out, k = [], len(ends)
         while k:
             out.append(ends[k - 1])
@@ -330,8 +372,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     Offsets are code points, end exclusive, without surrounding white space. Null texts and
     texts without letter or digit give no rows; a text without end marks is one sentence per
-    line; very long lines are searched whole, with at most REACH candidate places inside one
-    sentence. Extra columns are ignored, an empty table gives an empty result.
+    line; very long lines are searched whole. Extra columns are ignored, an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     model = opening_counts(docs, text_col) if counts is None else counts
