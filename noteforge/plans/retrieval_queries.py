@@ -176,6 +176,29 @@ def r6(spark, d):
     return R.recall_benchmark(R.exhaustive(q, texts, images, edges, 10), R.search(q, texts, images, edges, RECALL, 10))
 
 
+def _recall_sql(mode: str) -> str:
+    """Recall of one mode's search against all documents' scores; each ranking is a subquery with its own tables."""
+    every = f"(SELECT q.qid, t.doc_row FROM {'qi' if mode == 'image' else 'qt'} q, texts t)"
+    found, exact = (f"(WITH {w} SELECT qid, doc_row, rank FROM ranked WHERE rank <= 10)" for w in (f"{_cands(mode, RECALL)}, {_scores(mode, 'cands')}", _scores(mode, every)))
+    return f"""SELECT '{mode}' AS mode, a.qid, sum(CASE WHEN a.rank <= 5 AND r.rank <= 5 THEN 1 ELSE 0 END) / 5.0::DOUBLE AS recall_at_5, sum(CASE WHEN r.rank <= 10 THEN 1 ELSE 0 END) / 10.0::DOUBLE AS recall_at_10
+    FROM {exact} a LEFT JOIN {found} r ON r.qid = a.qid AND r.doc_row = a.doc_row GROUP BY a.qid"""
+
+
+_MODES = ("text", "image", "joint")
+
+
+@query("r6_recall_modes", f"WITH {_BASE} " + " UNION ALL ".join(_recall_sql(m) for m in _MODES))
+def r6_modes(spark, d):
+    texts, images, edges = corpus(spark, d)
+    q = query_vectors(texts, images, edges)
+    parts = []
+    for mode in _MODES:
+        own = q if mode == "joint" else q.where(C("modality") == mode)
+        found = R.recall_benchmark(R.exhaustive(own, texts, images, edges, 10), R.search(own, texts, images, edges, RECALL, 10))
+        parts.append(found.select(F.lit(mode).alias("mode"), "qid", "recall_at_5", "recall_at_10"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("a21_weighted_batches", """WITH b AS (SELECT event_type AS mode, user_id AS sample_size, value AS r5, value / 2 AS r10 FROM events), p AS (SELECT mode, sum(r5 * sample_size) / sum(sample_size) AS r5, sum(r10 * sample_size) / sum(sample_size) AS r10 FROM b GROUP BY 1)
     SELECT mode, round(r5, 6) AS recall_at_5, round(r10, 6) AS recall_at_10 FROM (SELECT * FROM p UNION ALL SELECT 'overall', avg(r5), avg(r10) FROM p)""")
 def a21(spark, d):
