@@ -1,16 +1,21 @@
 """The k most similar vectors for every vector, by cross-polytope hashing.
 
 Vectors are turned by fast Hadamard pseudo-rotations (random signs and Walsh-Hadamard, three
-times) and assigned to the nearest signed axis; each is filed under its two nearest axes in
-every table (multiprobe on both sides). Buckets that would be too large are split by a
-further hash. Inside a bucket candidates are found by blocked products and reranked exactly
-in double precision; a pair that meets in several buckets is reported in one of them.
+times) and assigned to the nearest signed axis. The number of hashes of a bucket's path, and
+of axes of the last, follow from the row count, so buckets stay of one mean size; each vector
+is filed under the few paths of each table that lose least (multiprobe on both sides).
+Buckets that are still too full are split by hashing what sets their vectors apart from their
+mean, without more copies of a vector. Inside a bucket candidates are found by blocked
+products and reranked exactly in double precision; a pair that meets in several buckets of a
+pass is reported in one of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,27 +23,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteforge.operators.retrieval import usual_length
-from noteforge.session import ship
+from noteforge.session import cut, ship
 
-TABLES = 2
-PROBES = 2
-#: Rows of a bucket that one task compares; fuller buckets get a further hash, up to DEPTH.
+#: Mean rows of a bucket, and rows from which a bucket is split.
+LEAF = 2_048
 MAX_BUCKET = 8_192
-DEPTH = 4
+#: Copies of vectors that are shuffled at once.
+COPIES = 4
+#: Further hashes of full buckets; what they leave together is compared as one bucket.
+DEPTH = 24
 #: Copies of one vector from which they are handled as one.
-MAX_COPIES = 10_000
+MAX_COPIES = 4_096
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Axes of each hash of a path, tables, and paths of each table that a vector is filed under."""
+
+    axes: tuple[int, ...]
+    tables: int
+    probes: int
+
+
+def layout(rows: int, dim: int, leaf: int = LEAF, probes_of_one: int = 2) -> Layout:
+    """One hash while its axes give small enough buckets, then two, and so on; the last has as many axes as are needed.
+
+    A path of one hash needs two probes, longer ones four, from three hashes on also a third table.
+    """
+    size = 1 << max(1, (dim - 1).bit_length())
+    levels = 1
+    while True:
+        probes = probes_of_one if levels == 1 else COPIES
+        last = rows * probes / leaf / float(2 * size) ** (levels - 1) / 2
+        if last <= size or levels == 8:
+            least = 8 if levels == 1 else 2
+            axes = min(size, max(least, 1 << max(0, math.ceil(math.log2(max(1.0, last))))))
+            return Layout((size,) * (levels - 1) + (axes,), 2 if levels < 3 else 3, probes)
+        levels += 1
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _child(parent: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """Key of a path with one more digit: 62 mixed bits."""
+    h = (parent.astype(np.uint64) + np.uint64(1)) * _MIX ^ (digit.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ h >> np.uint64(29)) >> np.uint64(2)).astype(np.int64)
 
 
 class Hasher:
-    """Keys of vectors: paths of signed axes, one digit per hash, deeper below full buckets."""
+    """Paths of signed axes. Full buckets have a mean; their vectors go on by the direction from it."""
 
-    def __init__(self, dim: int, tables: int = TABLES, seed: int = 7, full: list[int] = ()):
-        self.dim, self.tables = dim, tables
+    def __init__(self, dim: int, plan: Layout, seed: int = 7):
+        self.dim, self.plan = dim, plan
         self.size = 1 << max(1, (dim - 1).bit_length())
-        self.axes = 2 * self.size
         rng = np.random.default_rng(seed)
-        self.signs = rng.choice(np.array([-1, 1], np.float32), (tables, DEPTH, 3, self.size))
-        self.full = np.array(sorted(full), np.int64)
+        self.signs = rng.choice(np.array([-1, 1], np.float32), (plan.tables, len(plan.axes) + DEPTH, 3, self.size))
+        self.full = np.empty(0, np.int64)  # keys of full buckets in order, and their means
+        self.means = np.empty((0, self.size), np.float32)
+
+    def split(self, full: dict[int, np.ndarray]) -> None:
+        """Adds full buckets with their means."""
+        known = dict(zip(self.full.tolist(), self.means))
+        for key, mean in full.items():
+            known[key] = np.pad(np.asarray(mean, np.float32), (0, self.size - len(mean)))
+        self.full = np.array(sorted(known), np.int64)
+        self.means = np.stack([known[k] for k in self.full.tolist()])
 
     def rotate(self, x: np.ndarray, table: int, level: int) -> np.ndarray:
         for signs in self.signs[table, level]:
@@ -50,37 +102,54 @@ class Hasher:
                 h *= 2
         return x
 
-    def nearest(self, x: np.ndarray, table: int, level: int) -> np.ndarray:
-        """(rows, PROBES) nearest signed axes."""
-        r = self.rotate(x, table, level)
+    def nearest(self, x: np.ndarray, table: int, level: int, axes: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, n) nearest signed axes of the first `axes`, and what the second and later lose."""
+        r = self.rotate(x, table, level)[:, :axes]
         a = np.abs(r)
-        first = a.argmax(axis=1)
+        n = min(n, axes)
         rows = np.arange(len(x))
-        a[rows, first] = -1
-        second = a.argmax(axis=1)
-        best = np.stack([first, second], axis=1)
-        return best * 2 + (np.take_along_axis(r, best, 1) > 0)
-
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """(rows, columns) of bucket keys; places not used hold -1."""
+        best = np.empty((len(x), n), np.int64)
+        value = np.empty((len(x), n), np.float32)
+        for j in range(n):
+            best[:, j] = a.argmax(axis=1)
+            value[:, j] = a[rows, best[:, j]]
+            a[rows, best[:, j]] = -1
+        norm = np.maximum(np.sqrt((r * r).sum(axis=1)), 1e-30)[:, None]
+        return best * 2 + (np.take_along_axis(r, best, 1) > 0), ((value[:, :1] - value) / norm) ** 2
+
+    def keys(self, x: np.ndarray, tables: list[int]) -> np.ndarray:
+        """(rows, probes x tables) keys of buckets; places not used hold -1."""
         if x.shape[1] < self.size:
             x = np.pad(x, ((0, 0), (0, self.size - x.shape[1])))
         out = []
-        for t in range(self.tables):
-            k = (t + 1) * (self.axes + 1) + self.nearest(x, t, 0) + 1
-            for level in range(1, DEPTH):
-                hot = np.isin(k, self.full) & (k >= 0)
+        for t in tables:
+            key, loss = np.full((len(x), 1), t, np.int64), np.zeros((len(x), 1), np.float32)
+            for level, axes in enumerate(self.plan.axes):
+                digit, lost = self.nearest(x, t, level, axes, self.plan.probes)
+                key, loss = self._least(_child(key[:, :, None], digit[:, None, :]).reshape(len(x), -1), (loss[:, :, None] + lost[:, None, :]).reshape(len(x), -1))
+            for deeper in range(DEPTH if len(self.full) else 0):
+                at = np.minimum(np.searchsorted(self.full, key), len(self.full) - 1)
+                hot = (self.full[at] == key) & (key >= 0)
                 if not hot.any():
                     break
-                rows = np.flatnonzero(hot.any(axis=1))
-                deeper = np.zeros((len(x), PROBES), np.int64)
-                deeper[rows] = self.nearest(x[rows], t, level)
-                children = k[:, :, None] * (self.axes + 1) + deeper[:, None, :] + 1
-                stay = np.where(hot, -1, k)
-                k = np.concatenate([stay, np.where(hot[:, :, None], children, -1).reshape(len(x), -1)], axis=1)
-            out.append(k)
-        k = np.concatenate(out, axis=1)
-        return k[:, (k >= 0).any(axis=0)] if len(k) else k
+                rows, cols = np.nonzero(hot)
+                digit, lost = self.nearest(x[rows] - self.means[at[rows, cols]], t, len(self.plan.axes) + deeper, self.size, 2)
+                more_key, more_loss = np.full((len(x), 2 * key.shape[1]), -1, np.int64), np.full((len(x), 2 * key.shape[1]), np.inf, np.float32)
+                more_key[:, ::2], more_loss[:, ::2] = key, loss
+                for j in range(digit.shape[1]):
+                    more_key[rows, 2 * cols + j] = _child(key[rows, cols], digit[:, j])
+                    more_loss[rows, 2 * cols + j] = loss[rows, cols] + lost[:, j]
+                key, loss = self._least(more_key, more_loss)
+            out.append(key)
+        return np.concatenate(out, axis=1)
+
+    def _least(self, key: np.ndarray, loss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The paths that lose least, as many as are kept; equal losses in a fixed order."""
+        if key.shape[1] <= self.plan.probes:
+            return key, loss
+        order = np.argsort(loss, axis=1, kind="stable")[:, : self.plan.probes]
+        key, loss = np.take_along_axis(key, order, 1), np.take_along_axis(loss, order, 1)
+        return np.where(np.isfinite(loss), key, -1), loss
 
 
 def _unit(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +163,10 @@ def _unit(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _digest(x: np.ndarray) -> list[bytes]:
-    y = (np.round(x, 6) + np.float32(0)).astype(np.float32)
-    return [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in y]
+    return [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x + np.float32(0)]
 
 
-def bucket_pairs(ids: np.ndarray, x: np.ndarray, keys: np.ndarray, key: int, k: int, least: float, chunk: np.ndarray | None = None, parts: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_pairs(ids: np.ndarray, x: np.ndarray, keys: np.ndarray, key: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Directed pairs (a, b, cosine) of one bucket: for each row its k best at `least` or more.
 
     Pairs that also share a smaller key are left to that bucket.
@@ -110,10 +178,6 @@ def bucket_pairs(ids: np.ndarray, x: np.ndarray, keys: np.ndarray, key: int, k:
         block = x[at : at + 1024] @ x.T
         rows = np.arange(len(block))
         block[rows, at + rows] = -2
-        if parts is not None:
-            a, b = parts
-            mine = chunk[at : at + 1024, None]
-            block[~(((mine == a) & (chunk == b)) | ((mine == b) & (chunk == a)))] = -2
         limit = np.float32(least - 1e-4)
         hit = block >= max(limit, np.float32(-1.5))
         if hit.sum() > 64 * len(block) and block.shape[1] > k:  # raise the limit to each row's k-th best
@@ -144,18 +208,19 @@ def bucket_pairs(ids: np.ndarray, x: np.ndarray, keys: np.ndarray, key: int, k:
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_c)
 
 
-def nearest(df: DataFrame, id_col: str = "row_id", vec_col: str = "embedding", k: int = 5, least: float = -1.0, tables: int = TABLES, max_bucket: int = MAX_BUCKET, max_copies: int = MAX_COPIES, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "row_id", vec_col: str = "embedding", k: int = 5, least: float = -1.0, leaf: int = LEAF, max_bucket: int = MAX_BUCKET, max_copies: int = MAX_COPIES, seed: int = 7) -> DataFrame:
     """(row_id, neighbour_id, cosine): up to k most similar other vectors of each, by cosine, ties to the smaller id.
 
     Approximate: a neighbour is found if the two vectors share a bucket. Null vectors, zero
     vectors, vectors with null, NaN or infinite components and vectors whose length is not
     the most frequent one take no part; the norm does not matter; repeated vectors are neighbours
-    of each other. Neighbours below `least` are not reported. Every row is indexed; buckets
-    over max_bucket rows are split by further hashes (each with one more table), and what a
-    vector's DEPTH hashes cannot split is compared in tiles. A vector with more than
-    max_copies copies is indexed once. The driver gets bucket counts (at most
-    2 x rows x tables / max_bucket x axes) and the list of such vectors (at most rows /
-    max_copies).
+    of each other. Neighbours below `least` are not reported. Every row is indexed, under
+    `probes` paths of each table of its layout whatever the size of buckets. Buckets over
+    max_bucket rows are split again by the direction from their mean. Tables are searched in
+    passes of at most COPIES copies of each vector. A vector with more than max_copies exact
+    copies is indexed once. The driver gets the full buckets with their means (at most
+    rows x probes x tables / max_bucket; evenly spread vectors have none) and the list of such
+    vectors (at most rows / max_copies).
     """
     spark = df.sparkSession
     ship(spark)
@@ -165,92 +230,130 @@ def nearest(df: DataFrame, id_col: str = "row_id", vec_col: str = "embedding", k
     if dim is None:
         return spark.createDataFrame([], result)
     sized = sized.where(F.size("v") == dim)
-
-    def survey(hasher: Hasher, digests: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts: dict[int, int] = {}
-            for batch in batches:
-                ids, x = _unit(batch, dim)
-                if not len(ids):
-                    continue
-                found = hasher.keys(x)
-                for key, n in zip(*np.unique(found[found >= 0], return_counts=True)):
-                    counts[int(key)] = counts.get(int(key), 0) + int(n)
-                if digests:
-                    d = _digest(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(np.zeros(len(ids), np.int64)), pa.array(ids), pa.array(np.ones(len(ids), np.int64))], names=["d", "key", "i", "n"])
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array([b""] * len(counts), pa.binary()), pa.array(list(counts), pa.int64()), pa.array([0] * len(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["d", "key", "i", "n"])
-
-        return sized.mapInArrow(run, "d binary, key bigint, i bigint, n bigint").groupBy("d", "key").agg(F.sum("n").alias("n"), F.min("i").alias("first"))
-
-    hasher = Hasher(dim, tables, seed)
-    got = survey(hasher, True).where(f"(key > 0 AND n > {max_bucket}) OR (key = 0 AND n > {max_copies})").collect()
-    copied = {bytes(r["d"]): r["first"] for r in got if r["key"] == 0}
+    rows = sized.count()
+    plan = layout(rows, dim, leaf)
+    hasher = Hasher(dim, plan, seed)
+    every = list(range(plan.tables))
+    full, copied = _survey(sized, hasher, every, max_bucket, max_copies)
+    if full and plan.probes < COPIES:  # paths get longer, so more of them are needed
+        plan = layout(rows, dim, leaf, COPIES)
+        hasher, every = Hasher(dim, plan, seed), list(range(plan.tables))
+        full, _ = _survey(sized, hasher, every, max_bucket, 0, copied)
     spare = {}
     if copied:
         spare = _first_ids(sized, dim, copied, k + 1)
         for r in spare.values():
             r.sort()
-    full = {r["key"] for r in got if r["key"] > 0}
-    level, last = 1, set(full)
-    while last and level < DEPTH:
-        hasher = Hasher(dim, tables + level, seed, list(full))
-        got = survey(hasher, False).where(f"n > {max_bucket}").collect()
-        last = {r["key"] for r in got} - full
-        sizes = {r["key"]: r["n"] for r in got}
-        if level == DEPTH - 1:
+    for _ in range(DEPTH):
+        if not full:
             break
-        full |= last
-        level += 1
-    tiles = {key: -(-sizes[key] // (max_bucket // 2)) for key in last} if last else {}
-    shared = spark.sparkContext.broadcast((hasher, copied, tiles))
+        hasher.split(_means(sized, hasher, every, full, copied))
+        full = _survey(sized, hasher, every, max_bucket, 0, copied)[0]
+    best = Window.partitionBy("row_id").orderBy(F.desc("cosine"), "neighbour_id")
+
+    def first(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("_r", F.row_number().over(best)).where(f"_r <= {k}").drop("_r")
+
+    at_once = max(1, COPIES // plan.probes)
+    passes = [every[a : a + at_once] for a in range(0, plan.tables, at_once)]
+    if len(passes) == 1:
+        pairs = _pass(sized, hasher, passes[0], copied, k, least)
+    else:
+        done = None
+        for tables in passes:
+            part = cut(first(_pass(sized, hasher, tables, copied, k, least)), "pass")
+            done = part if done is None else done.unionByName(part)
+            spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the pass
+        pairs = done.repartition("row_id").groupBy("row_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
+    if spare:
+        pairs = _spread_copies(spark, sized, dim, pairs, copied, spare, k)
+    return first(pairs)
+
+
+def _once(ids: np.ndarray, x: np.ndarray, copied: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Without further copies of much-copied vectors."""
+    if not copied or not len(ids):
+        return ids, x
+    keep = np.array([copied.get(d, i) == i for i, d in zip(ids.tolist(), _digest(x))], bool)
+    return ids[keep], x[keep]
+
+
+def _survey(sized: DataFrame, hasher: Hasher, tables: list[int], max_bucket: int, max_copies: int, copied: dict[bytes, int] | None = None) -> tuple[list[int], dict[bytes, int]]:
+    """(keys of full buckets, first id of each much-copied vector unless max_copies is 0)."""
+    dim, shared = hasher.dim, sized.sparkSession.sparkContext.broadcast((hasher, copied))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, copied = shared.value
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            ids, x = _once(*_unit(batch, dim), copied)
+            if not len(ids):
+                continue
+            found = hasher.keys(x, tables)
+            keys = np.concatenate((keys, found[found >= 0]))
+            counts = np.concatenate((counts, np.ones(len(keys) - len(counts), np.int64)))
+            keys, back = np.unique(keys, return_inverse=True)
+            counts = np.bincount(back, counts, len(keys)).astype(np.int64)
+            if max_copies:
+                yield pa.RecordBatch.from_arrays([pa.array(_digest(x), pa.binary()), pa.array(np.full(len(ids), -1)), pa.array(ids), pa.array(np.ones(len(ids), np.int64))], names=["d", "key", "i", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([b""] * len(keys), pa.binary()), pa.array(keys), pa.array(np.zeros(len(keys), np.int64)), pa.array(counts)], names=["d", "key", "i", "n"])
+
+    counted = sized.mapInArrow(run, "d binary, key bigint, i bigint, n bigint").groupBy("d", "key").agg(F.sum("n").alias("n"), F.min("i").alias("first"))
+    got = counted.where(f"(key >= 0 AND n > {max_bucket}) OR (key < 0 AND n > {max_copies})").collect()
+    return [r["key"] for r in got if r["key"] >= 0], {bytes(r["d"]): r["first"] for r in got if r["key"] < 0}
+
+
+def _means(sized: DataFrame, hasher: Hasher, tables: list[int], full: list[int], copied: dict[bytes, int]) -> dict[int, np.ndarray]:
+    """Mean vector of each full bucket."""
+    dim, shared = hasher.dim, sized.sparkSession.sparkContext.broadcast((hasher, copied, np.array(sorted(full), np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, copied, wanted = shared.value
+        sums, n = np.zeros((len(wanted), dim)), np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            ids, x = _once(*_unit(batch, dim), copied)
+            if not len(ids):
+                continue
+            keys = hasher.keys(x, tables)
+            at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+            rows, cols = np.nonzero(wanted[at] == keys)
+            np.add.at(sums, at[rows, cols], x[rows])
+            n += np.bincount(at[rows, cols], minlength=len(wanted))
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[used]), pa.array(n[used]), pa.array([r.tobytes() for r in sums[used]], pa.binary())], names=["key", "n", "v"])
+
+    def add(group: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(v) for v in group.column("v").to_pylist()) / sum(group.column("n").to_pylist())
+        return pa.table({"key": group.column("key").slice(0, 1), "v": pa.array([whole.astype(np.float32).tobytes()], pa.binary())})
+
+    got = sized.mapInArrow(run, "key bigint, n bigint, v binary").groupBy("key").applyInArrow(add, "key bigint, v binary").collect()
+    return {r["key"]: np.frombuffer(bytes(r["v"]), np.float32) for r in got}
+
+
+def _pass(sized: DataFrame, hasher: Hasher, tables: list[int], copied: dict[bytes, int], k: int, least: float) -> DataFrame:
+    """(row_id, neighbour_id, cosine) of the pairs that share a bucket of some tables."""
+    dim, shared = hasher.dim, sized.sparkSession.sparkContext.broadcast((hasher, copied))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, copied, tiles = shared.value
+        hasher, copied = shared.value
         for batch in batches:
-            ids, x = _unit(batch, dim)
-            if copied and len(ids):
-                firsts = np.array([copied.get(d, -1) if copied.get(d, i) != i else -1 for i, d in zip(ids.tolist(), _digest(x))])
-                ids, x = ids[firsts == -1], x[firsts == -1]
+            ids, x = _once(*_unit(batch, dim), copied)
             if not len(ids):
                 continue
-            keys = hasher.keys(x)
-            raw = [r.tobytes() for r in x]
+            keys = hasher.keys(x, tables)
             rows, cols = np.nonzero(keys >= 0)
-            key, part, chunk = keys[rows, cols], np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int32)
-            if tiles:
-                extra = []
-                for p, (r, kk) in enumerate(zip(rows.tolist(), key.tolist())):
-                    c = tiles.get(kk, 1)
-                    mine = hash(ids[r]) % c
-                    extra += [(p, min(mine, o) * c + max(mine, o) + (0 if c == 1 else c * c), mine) for o in range(c)]
-                at = np.array([e[0] for e in extra])
-                rows, key = rows[at], key[at]
-                part, chunk = np.array([e[1] for e in extra]), np.array([e[2] for e in extra], np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(part, pa.int64()), pa.array(chunk, pa.int32()), pa.array(ids[rows]), pa.array([raw[r] for r in rows], pa.binary())],
-                names=["key", "part", "chunk", "i", "v"],
-            )
+            raw = [r.tobytes() for r in x]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows, cols]), pa.array(ids[rows]), pa.array([raw[r] for r in rows], pa.binary())], names=["key", "i", "v"])
 
     def compare(group: pa.Table) -> pa.Table:
-        hasher, _, tiles = shared.value
-        key, part = group.column("key")[0].as_py(), group.column("part")[0].as_py()
+        hasher, _ = shared.value
         ids = group.column("i").to_numpy()
         x = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float32).reshape(len(ids), dim)
-        parts = None
-        if key in tiles:
-            c = tiles[key]
-            parts = divmod(part - c * c, c) if c > 1 else None
-        a, b, cos = bucket_pairs(ids, x, hasher.keys(x), key, k, least, group.column("chunk").to_numpy(), parts)
+        a, b, cos = bucket_pairs(ids, x, hasher.keys(x, tables), group.column("key")[0].as_py(), k, least)
         return pa.table({"row_id": pa.array(a, pa.int64()), "neighbour_id": pa.array(b, pa.int64()), "cosine": pa.array(cos, pa.float64())})
 
-    filed = sized.mapInArrow(file, "key bigint, part bigint, chunk int, i bigint, v binary")
-    pairs = filed.groupBy("key", "part").applyInArrow(compare, result)
-    if spare:
-        pairs = _spread_copies(spark, sized, dim, pairs, copied, spare, k)
-    best = Window.partitionBy("row_id").orderBy(F.desc("cosine"), "neighbour_id")
-    return pairs.withColumn("_r", F.row_number().over(best)).where(f"_r <= {k}").drop("_r")
+    filed = sized.mapInArrow(file, "key bigint, i bigint, v binary")
+    return filed.groupBy("key").applyInArrow(compare, "row_id bigint, neighbour_id bigint, cosine double")
 
 
 def _members(sized: DataFrame, dim: int, copied: dict[bytes, int]) -> DataFrame:

@@ -153,11 +153,46 @@ def frame(spark, x):
 def test_neighbour_recall(spark):
     x = clusters(1500, 1).astype(np.float32).astype(float)
     want = brute(x, np.arange(len(x)))
-    for how in ({}, {"max_bucket": 40}):  # whole buckets, and buckets split several times and in tiles
+    for how in ({}, {"max_bucket": 40}, {"leaf": 20}):  # whole buckets, all buckets split, and paths of several hashes
         got = {tuple(r) for r in neighbours.similar_pairs(frame(spark, x), **how).collect()}
         assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
 
 
+def test_copies_of_a_vector_do_not_grow_with_depth():
+    """Every bucket is over the limit, again and again; the paths of a vector stay as many, and near-copies part at last."""
+    x = np.concatenate([clusters(3000, 3), 1 + 1e-4 * np.random.default_rng(4).normal(size=(2000, 64))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    plan = neighbours.layout(len(x), 64, 2048, neighbours.COPIES)
+    h = neighbours.Hasher(64, plan)
+    for _ in range(neighbours.DEPTH):
+        keys = h.keys(x, [0, 1])
+        assert (keys >= 0).sum(axis=1).max() <= 2 * neighbours.COPIES
+        found, n = np.unique(keys[keys >= 0], return_counts=True)
+        if n.max() <= 100:
+            break
+        h.split({int(k): x[(keys == k).any(axis=1)].mean(axis=0) for k in found[n > 100]})
+    assert n.max() <= 100
+
+
+def test_layout_keeps_buckets_small():
+    for dim in (2, 64, 512):
+        last = 0
+        for rows in (0, 10, 10**5, 10**6, 10**8, 10**10):
+            plan = neighbours.layout(rows, dim)
+            buckets = np.prod([2.0 * a for a in plan.axes])
+            assert plan.probes <= neighbours.COPIES and plan.tables <= 3
+            assert rows * plan.probes / buckets <= neighbours.LEAF or dim == 2
+            assert len(plan.axes) >= last
+            last = len(plan.axes)
+
+
+def test_first_row_of_another_length(spark):
+    rows = [(1, [1.0]), (2, [1.0, 0.0, 0.0]), (3, [0.9, 0.1, 0.0]), (4, []), (5, None), (6, [0.0, 1.0, 0.0]), (7, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "row_id bigint, embedding array<float>").coalesce(1)
+    assert [tuple(r) for r in neighbours.similar_pairs(df).collect()] == [(2, 3)]
+    assert neighbours.nearest(df.where("row_id IN (4, 5)")).count() == 0
+
+
 def test_neighbour_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (8, [None, 1.0]), (9, [0.0, 0.5])]
     df = spark.createDataFrame(rows, "row_id bigint, embedding array<float>")
