@@ -2,9 +2,11 @@
 
 Evaluation texts are indexed in shards of similar length (fmindex). Training texts stream
 through the shards whose lengths can match and are cut by backward search into disjoint
-matches, each as short as is rare enough. A pair within d edits leaves at least one of any
-d + 1 disjoint pieces whole and moves it by at most d places, so the rarest d + 1 pieces
-give every candidate; their spans and counts are merged per pair and the edit distance decides.
+pieces, each as short as is rare enough. One edit breaks at most one piece and moves the
+others by one place, so of any n pieces a pair within d edits keeps n - d, moved by at most
+d; pairs are counted by the pieces they keep. For the pairs that remain the evaluation text
+is read back from the index, the pieces are extended to maximal matches, whose spans are
+merged and counted per pair, and the edit distance decides.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ from noteforge.session import cut, salted_join, ship
 
 #: Most edits, as a share of the longer text.
 SHARE = 0.1
-#: Characters of one index shard, and of one batch of training texts.
-SHARD_CHARS = 2_000_000
-#: First limit on the occurrences of a piece; raised until there are enough pieces.
+#: Characters of one index shard.
+SHARD_CHARS = 4_000_000
+#: First limit on the occurrences of a piece; raised until there are enough pieces (at last they are single letters).
 RAREST = 16
-#: Occurrences from which pieces are too common to locate; such texts are compared directly.
-COMMON = 1024
+#: Pieces that a pair must keep, where a text has enough.
+KEPT = 3
 #: Places located at once.
-PLACES = 2_000_000
-BINS = 128
+PLACES = 16_384
+#: Characters of a batch of training texts.
+BATCH_CHARS = 2_000_000
 #: Pairs of one key from which a join is split, and pairs of one part.
 PAIRS = 2_000_000
 
@@ -88,75 +91,100 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _pairs_histogram(t: np.ndarray) -> np.ndarray:
-    """Counts of hashed letter pairs: one edit changes at most four of them by one."""
-    if len(t) < 2:
-        return np.zeros(BINS, np.int32)
-    h = (t[:-1].astype(np.uint64) * np.uint64(2654435761) + t[1:].astype(np.uint64) * np.uint64(40503)) >> np.uint64(7)
-    return np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32)
+def matches(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of a in maximal matches with b, merged; seeds are (place in a, place in b) of matching letters."""
+    spans = []
+    for diagonal in {y - x for x, y in seeds}:
+        at = np.array(sorted(x for x, y in seeds if y - x == diagonal))
+        low, high = max(0, -diagonal), min(len(a), len(b) - diagonal)
+        parted = np.concatenate(([low - 1], low + np.flatnonzero(a[low:high] != b[low + diagonal : high + diagonal]), [high]))
+        right = np.searchsorted(parted, at, "right")
+        spans += zip((parted[right - 1] + 1).tolist(), parted[right].tolist())
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(set(spans)):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
 
 
-def near_pairs(index: FMIndex, texts: list[str], share: float = SHARE) -> list[tuple[int, int, int]]:
-    """(number of the text, number of the indexed text, edits) of all pairs within the share."""
+def near_matches(index: FMIndex, texts: list[str], share: float = SHARE) -> list[tuple[int, int, int, int, int]]:
+    """(number of the text, number of the indexed text, edits, merged spans, letters in them) of all pairs within the share."""
     coded = [_codes(t) for t in texts]
     size = np.array([len(c) for c in coded], np.int64)
+    whole = max(1, len(index.sizes))
     # the longer of a pair has at most size / (1 - share) characters
     most = np.floor(share * size / (1 - share) + 1e-9).astype(np.int64)
-    todo = np.flatnonzero(size > 0)
+    todo = np.flatnonzero(size > 0) if len(index.sizes) else np.empty(0, np.int64)
     rarest = RAREST
-    xs, ys = [], []
-    edits_of = lambda x, y: np.floor(share * np.maximum(size[x], index.sizes[y]) + 1e-9)
-    while len(todo) and rarest <= COMMON:
-        own, begin, lo, hi = index.pieces([coded[i] for i in todo], rarest)
+    xs, ys, seeds = [], [], []
+    while len(todo):
+        own, begin, length, lo, hi = index.pieces([coded[i] for i in todo], rarest)
         n = hi - lo
         order = np.lexsort((n, own))
         own, begin, lo, n = own[order], begin[order], lo[order], n[order]
-        first = np.searchsorted(own, np.arange(len(todo)))
-        ready = np.bincount(own, minlength=len(todo)) > most[todo]
-        rank = np.arange(len(own)) - first[own]
-        use = ready[own] & (rank <= most[todo][own]) & (n > 0)
+        number = np.bincount(own, minlength=len(todo))
+        ready = number > most[todo]
+        used = np.minimum(number, most[todo] + KEPT)  # the rarest
+        lost = np.bincount(own[n == 0], minlength=len(todo))
+        rank = np.arange(len(own)) - np.searchsorted(own, np.arange(len(todo)))[own]
+        use = (ready & (lost <= most[todo]))[own] & (rank < used[own]) & (n > 0)
         own, begin, lo, n = own[use], begin[use], lo[use], n[use]
         upto = np.cumsum(n)
+        kept = [np.empty((3, 0), np.int64)]
         at = 0
         while at < len(n):  # so many places at once
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PLACES, "right")))
             m = n[at:to]
             rows = np.repeat(lo[at:to], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             text, offset = index.locate(rows)
-            x = todo[np.repeat(own[at:to], m)]
-            edits = edits_of(x, text)
-            keep = (np.abs(offset - np.repeat(begin[at:to], m)) <= edits) & (np.abs(size[x] - index.sizes[text]) <= edits)
-            pair = np.unique(x[keep] * len(index.sizes) + text[keep])
-            xs.append(pair // len(index.sizes))
-            ys.append(pair % len(index.sizes))
+            piece = np.repeat(np.arange(at, to), m)
+            x = todo[own[piece]]
+            edits = np.floor(share * np.maximum(size[x], index.sizes[text]) + 1e-9)
+            near = (np.abs(offset - begin[piece]) <= edits) & (np.abs(size[x] - index.sizes[text]) <= edits)
+            kept.append(np.stack([x[near] * whole + text[near], piece[near], offset[near]]))
             at = to
+        pair, piece, offset = np.concatenate(kept, axis=1)
+        if len(pair):
+            order = np.lexsort((piece, pair))
+            pair, piece, offset = pair[order], piece[order], offset[order]
+            new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (piece[1:] != piece[:-1])))  # a piece counts once a pair
+            found, first, count = np.unique(pair, return_index=True, return_counts=True)
+            held = np.add.reduceat(new.astype(np.int64), first)
+            x, y = found // whole, found % whole
+            edits = np.floor(share * np.maximum(size[x], index.sizes[y]) + 1e-9).astype(np.int64)
+            for k in np.flatnonzero(held >= used[np.searchsorted(todo, x)] - edits).tolist():
+                xs.append(int(x[k]))
+                ys.append(int(y[k]))
+                at = slice(first[k], first[k] + count[k])
+                seeds.append(list(zip(begin[piece[at]].tolist(), offset[at].tolist())))
         todo = todo[~ready]
-        rarest *= 4
-    every = np.arange(len(index.sizes))
-    for i in todo.tolist():  # texts of endless repetitions have no rare pieces: all of fitting length are compared
-        near = every[np.abs(size[i] - index.sizes) <= edits_of(np.full(len(every), i), every)]
-        xs.append(np.full(len(near), i))
-        ys.append(near)
-    if not xs:
-        return []
-    pair = np.unique(np.concatenate(xs) * max(1, len(index.sizes)) + np.concatenate(ys))  # spans of one pair are one candidate
-    x, y = pair // max(1, len(index.sizes)), pair % max(1, len(index.sizes))
-    out = []
-    mine = {i: _pairs_histogram(coded[i]) for i in np.unique(x)}
-    theirs = {j: _pairs_histogram(index.content(j)) for j in np.unique(y)}
+        rarest *= 8
+    theirs = np.unique(np.array(ys, np.int64))
+    read = dict(zip(theirs.tolist(), index.contents(theirs)))
     known: dict[int, str] = {}
-    for i, j in zip(x.tolist(), y.tolist()):
-        d = math.floor(share * max(size[i], index.sizes[j]) + 1e-9)
-        if np.abs(mine[i] - theirs[j]).sum() > 4 * d:
-            continue
-        if j not in known:
-            known[j] = index.content(j).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-        e = edit_distance(texts[i], known[j], d)
-        if e <= d:
-            out.append((i, j, e))
+    out = []
+    for i, j, places in zip(xs, ys, seeds):
+        spans = matches(coded[i], read[j], places)
+        letters = sum(b - a for a, b in spans)
+        edits = 0
+        if letters < max(size[i], index.sizes[j]) or len(spans) > 1 or len({a - b for a, b in places}) > 1:
+            d = math.floor(share * max(size[i], index.sizes[j]) + 1e-9)
+            if j not in known:
+                known[j] = read[j].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+            edits = edit_distance(texts[i], known[j], d)
+            if edits > d:
+                continue
+        out.append((i, j, edits, len(spans), letters))
     return out
 
 
+def near_pairs(index: FMIndex, texts: list[str], share: float = SHARE) -> list[tuple[int, int, int]]:
+    """(number of the text, number of the indexed text, edits) of all pairs within the share."""
+    return [m[:3] for m in near_matches(index, texts, share)]
+
+
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -210,7 +238,7 @@ def _shards(evaluation: DataFrame, shard_chars: int) -> DataFrame:
 
     def build(group: pa.Table) -> pa.Table:
         norm = group.column("norm").to_pylist()
-        index = FMIndex([_codes(t) for t in norm], [p.hex() for p in group.column("print").to_pylist()])
+        index = FMIndex([_codes(t) for t in norm], np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint8).reshape(len(norm), -1))
         size = group.column("size").to_numpy()
         return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "low": pa.array([int(size.min())], pa.int64()), "high": pa.array([int(size.max())], pa.int64()), "blob": pa.array([index.dump()], pa.binary())})
 
@@ -229,8 +257,9 @@ def _read_shard(uri: str, shard: int) -> FMIndex:
 def text_overlaps(docs: DataFrame, share: float = SHARE, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
     """(links, members) of (doc_id, side, text).
 
-    links: (train_print, eval_print, edits) between distinct texts of which a form is equal or
-    differs in at most `share` of the longer one's characters, with the least edits; members:
+    links: (train_print, eval_print, edits, spans, letters) between distinct texts of which a form
+    is equal or differs in at most `share` of the longer one's characters, with the least edits
+    and the merged spans of their maximal matches; members:
     (doc_id, side, print). Each distinct form is searched once, however many copies it has.
     """
     spark = docs.sparkSession
@@ -244,18 +273,18 @@ def text_overlaps(docs: DataFrame, share: float = SHARE, shard_chars: int = SHAR
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(prints: list, norms: list) -> pa.RecordBatch:
-            rows: tuple[list, ...] = ([], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
             sizes = np.array([len(t) for t in norms])
             for low, high, shard, uri in where:
                 at = np.flatnonzero((sizes >= low * (1 - share) - 1) & (sizes <= high / (1 - share) + 1))
                 if not len(at):
                     continue
                 index = _read_shard(uri, shard)
-                for i, j, e in near_pairs(index, [norms[k] for k in at], share):
-                    rows[0].append(prints[at[i]])
-                    rows[1].append(bytes.fromhex(index.ids[j]))
-                    rows[2].append(e)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int64())], names=["train_form", "eval_form", "edits"])
+                for i, j, *counts in near_matches(index, [norms[k] for k in at], share):
+                    for out, value in zip(rows, (prints[at[i]], index.ids[j].tobytes(), *counts)):
+                        out.append(value)
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names=["train_form", "eval_form", "edits", "spans", "letters"])
 
         prints, norms, chars = [], [], 0
         for batch in batches:
@@ -263,18 +292,18 @@ def text_overlaps(docs: DataFrame, share: float = SHARE, shard_chars: int = SHAR
                 prints.append(p)
                 norms.append(t)
                 chars += len(t)
-                if chars >= shard_chars:
+                if chars >= min(shard_chars, BATCH_CHARS):
                     yield flush(prints, norms)
                     prints, norms, chars = [], [], 0
         if prints:
             yield flush(prints, norms)
 
-    found = cut(distinct.where("side = 1").select("print", "norm").mapInArrow(search, "train_form binary, eval_form binary, edits bigint"), "forms")
+    found = cut(distinct.where("side = 1").select("print", "norm").mapInArrow(search, "train_form binary, eval_form binary, edits bigint, spans bigint, letters bigint"), "forms")
     forms = texts.groupBy("side", "print", "form_print").agg(F.min("doc_id").alias("doc_id"))
     train = forms.where("side = 1").select(F.col("form_print").alias("train_form"), F.col("print").alias("train_print"), F.col("doc_id").alias("train_id"))
     held = forms.where("side = 0").select(F.col("form_print").alias("eval_form"), F.col("print").alias("eval_print"), F.col("doc_id").alias("eval_id"))
     links = salted_join(held, salted_join(train, found, ["train_form"], "train_id"), ["eval_form"], "eval_id")
-    return cut(links.groupBy("train_print", "eval_print").agg(F.min("edits").alias("edits")), "links"), members
+    return cut(links.groupBy("train_print", "eval_print").agg(F.min("edits").alias("edits"), F.min_by("spans", "edits").alias("spans"), F.max("letters").alias("letters")), "links"), members
 
 
 def shared_key_pairs(train: DataFrame, held: DataFrame, key: str, id_col: str = "doc_id", pairs: int = PAIRS) -> DataFrame:

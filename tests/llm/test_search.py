@@ -25,7 +25,7 @@ def test_index_finds_every_occurrence():
     for _ in range(200):
         p = "".join(random.choice("abcä字z") for _ in range(random.randrange(1, 5)))
         assert sorted(ix.find(overlap._codes(p))) == sorted((i, k) for i, t in enumerate(texts) for k in range(len(t)) if t.startswith(p, k))
-    assert [ix.content(i).tolist() for i in range(30)] == [overlap._codes(t).tolist() for t in texts]
+    assert [c.tolist() for c in ix.contents(np.arange(30))] == [overlap._codes(t).tolist() for t in texts]
     assert FMIndex([], []).find(overlap._codes("a")) == []
 
 
@@ -62,6 +62,26 @@ def test_near_pairs_lose_nothing():
     assert len(want) > 20 and got == want
 
 
+def test_index_is_smaller_than_its_text():
+    random.seed(4)
+    texts = [overlap._codes("".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500))) for _ in range(200)]
+    ix = FMIndex(texts, np.arange(200))
+    assert sum(getattr(ix, name).nbytes for name in ix.ARRAYS) < 2.7 * sum(len(t) for t in texts)  # of 4 bytes a letter
+
+
+def test_spans_of_maximal_matches():
+    a, b = (overlap._codes(t) for t in ("abcdefghij--klmnop", "xabcdefghijklmnop!"))
+    assert overlap.matches(a, b, [(3, 4), (5, 6), (13, 12)]) == [(0, 10), (12, 18)]
+    ix = FMIndex([b], np.arange(1))
+    assert overlap.near_matches(ix, ["xabcdefghijklmnop!"]) == [(0, 0, 0, 1, 18)]
+    assert overlap.near_matches(ix, ["xabcdefgh_jklmnop!"])[0][:3] == (0, 0, 1)
+
+
+def test_endless_repetitions_are_searched():
+    ix = FMIndex([overlap._codes("a" * n) for n in (50, 95, 100, 105)], np.arange(4))
+    assert {(i, j) for i, j, _ in overlap.near_pairs(ix, ["a" * 100])} == {(0, 1), (0, 2), (0, 3)}
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, split string, source string, text string, image_path string, side int")
 
