@@ -30,8 +30,10 @@ from noteforge.session import cut, salted_join, ship
 SHARE = 0.1
 #: Characters of one index shard.
 SHARD_CHARS = 4_000_000
-#: First limit on the occurrences of a piece; raised until there are enough pieces (at last they are single letters).
+#: First limit on the occurrences of a piece; raised until there are enough pieces.
 RAREST = 16
+#: Occurrences from which pieces are too common to locate; such texts are compared directly.
+COMMON = 1024
 #: Pieces that a pair must keep, where a text has enough.
 KEPT = 3
 #: Places located at once.
@@ -119,7 +121,7 @@ def near_matches(index: FMIndex, texts: list[str], share: float = SHARE) -> list
     todo = np.flatnonzero(size > 0) if len(index.sizes) else np.empty(0, np.int64)
     rarest = RAREST
     xs, ys, seeds = [], [], []
-    while len(todo):
+    while len(todo) and rarest <= COMMON:
         own, begin, length, lo, hi = index.pieces([coded[i] for i in todo], rarest)
         n = hi - lo
         order = np.lexsort((n, own))
@@ -161,6 +163,12 @@ def near_matches(index: FMIndex, texts: list[str], share: float = SHARE) -> list
                 seeds.append(list(zip(begin[piece[at]].tolist(), offset[at].tolist())))
         todo = todo[~ready]
         rarest *= 8
+    for i in todo.tolist():  # texts of endless repetitions have no rare pieces: all of fitting length are compared
+        larger = np.maximum(size[i], index.sizes)
+        for j in np.flatnonzero(np.abs(size[i] - index.sizes) <= np.floor(share * larger + 1e-9)).tolist():
+            xs.append(i)
+            ys.append(j)
+            seeds.append([])
     theirs = np.unique(np.array(ys, np.int64))
     read = dict(zip(theirs.tolist(), index.contents(theirs)))
     known: dict[int, str] = {}
@@ -169,7 +177,7 @@ def near_matches(index: FMIndex, texts: list[str], share: float = SHARE) -> list
         spans = matches(coded[i], read[j], places)
         letters = sum(b - a for a, b in spans)
         edits = 0
-        if letters < max(size[i], index.sizes[j]) or len(spans) > 1 or len({a - b for a, b in places}) > 1:
+        if spans != [(0, max(size[i], index.sizes[j]))] or len({a - b for a, b in places}) > 1:
             d = math.floor(share * max(size[i], index.sizes[j]) + 1e-9)
             if j not in known:
                 known[j] = read[j].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
