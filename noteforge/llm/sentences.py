@@ -1,16 +1,18 @@
 """Sentence units of every document, by semi-Markov dynamic programming over whole spans.
 
 Each line is a lattice whose nodes are the places where a sentence could end. A span between
-two nodes is scored as a whole: how it closes (end mark, abbreviation, number, quotation that
-goes on), how the next one opens (case, and how often the word opens lines in this corpus),
-whether its quotes and brackets are balanced, and whether it is very short. The best chain wins.
+two nodes is scored as a whole: by its length, how it opens (case, and how often the word
+opens lines in this corpus), how it closes (end mark, abbreviation, number, quotation that
+goes on), and whether its quotes and brackets are balanced: a span may begin or end inside a
+pair of marks, at a price, only if another begins right before the pair and one ends right
+behind it. The best chain wins; it is found in one pass, whatever the length of the line.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +26,14 @@ from noteforge.session import ship
 
 #: Buckets of the opening-word table: its size does not depend on the corpus.
 BUCKETS = 1 << 17
-#: What ends of sentences inside a quotation that stands alone must gain together to cut it.
-OPENED = 30.0
+#: Price of a span that begins outside a pair of marks and ends inside, or the other way.
+CROSS = 15.0
+#: Length from which spans are not too short, and price of each character that lacks.
+SHORT, LACKS = 8, 0.25
+#: Price of a span without a word.
+WORDLESS = 40.0
+#: Score of a place at which no sentence ends.
+NO_END = -1e6
 
 _LINE = re.compile("[\r\n\x0b\x0c\x85  ]+")
 _MARKS = re.compile(r"(?:\s?[.!?。！？．｡।॥…‽⁇⁈⁉]+)+")
@@ -33,6 +41,12 @@ _CLOSERS = "”’\"'“»«›」』）)】》〉]}＂＊*_"
 _PAIRS = {"“": "”", "「": "」", "『": "』", "(": ")", "（": "）", "【": "】", "《": "》", "〈": "〉", "[": "]", "{": "}", "«": "»"}
 _CLOSE = {b: a for a, b in _PAIRS.items()}
 _EVEN = '"*'
+_ANY_PAIR = re.compile("[" + re.escape("".join({*_PAIRS, *_CLOSE, *_EVEN, "„"})) + "]")
+_THAI = re.compile("[\u0e00-\u0e7f]+")
+_START = re.compile(r"(?<!\w)[^\W\d_]{2,}")
+_SPACE = re.compile(r"\s*")
+_TOKEN = re.compile(r"[^\W_]+(?:\.\s?[^\W\d_])*[^\W_]*$|[^\s\d]+$")
+_TAIL = re.compile(r"[^\s\W_]+$|[\wऀ-ॿ]+$")
 
 # Abbreviations that stand before what they belong to and never end a sentence ...
 NEVER = {
@@ -45,6 +59,8 @@ NEVER = {
 EITHER = {"p.m", "a.m", "pm", "am", "etc", "usw", "usf", "inc", "ltd", "co", "corp", "u.s", "u.k", "b.c", "a.d", "v.chr", "n.chr", "आदि", "इत्यादि"}
 # ... and words that are abbreviations before a number only.
 BEFORE_NUMBER = {"no", "nos", "p", "pp", "art", "sec", "ch", "abs", "kap", "s", "सं"}
+#: What stands further before a mark cannot be part of a listed abbreviation or change its reading.
+_BACK = 2 * max(map(len, NEVER | EITHER | BEFORE_NUMBER)) + 8
 MONTHS_DE = {"januar", "jänner", "februar", "feber", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"}
 
 
@@ -139,16 +155,16 @@ class Segmenter:
         self.known: dict[str, float] = {}
 
     def opens(self, word: str) -> float:
-        """How well a word opens a sentence, from the corpus: below 0 if it is common and never does."""
+        """How well a word opens a sentence, from the corpus: below 0 if it occurs and does not, by a smoothed rate.
+
+        The rate is that at which words open lines (of pairs of characters a lower one), so it
+        says the more the oftener a word was seen, without a step; at most 3.9 against.
+        """
         score = self.known.get(word)
         if score is None:
             o, n = (int(x) for x in self.counts[:, bucket(word)])
-            if n < (300 if word and _wide(word[0]) else 30):  # pairs of characters say less than words
-                score = 0.0
-            elif o * 500 < n:
-                score = -4.0
-            else:
-                score = 1.5
+            usual = 1 / 300 if word and _wide(word[0]) else 1 / 100
+            score = min(1.5, max(-3.9, 1.2 * math.log((o + 1) / (n * usual + 1))))
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[word] = score
@@ -157,7 +173,7 @@ class Segmenter:
     def _opening(self, line: str, at: int, odd_case: bool) -> float:
         word = opening_word(line, at)
         if word is None:
-            return -20.0  # nothing but marks would follow
+            return NO_END  # nothing but marks would follow
         score = self.opens(word)
         m = _NO_WORD.match(line, at)
         first = line[m.end()]
@@ -173,46 +189,49 @@ class Segmenter:
         before = line[start - 1] if start else " "
         after = line[end] if end < len(line) else " "
         quoted = line[start + len(marks) : end].strip(" *)）]】}") != "" and line[end - 1] in "”“\"'’」』»«"
-        following = line[end : end + 200].lstrip()[:1]
-        left = line[max(0, start - 60) : start]  # as far as any abbreviation reaches
+        behind = _SPACE.match(line, end).end()
+        following = line[behind : behind + 1]
         if quoted:
             if after in ",，、;；:：" or following in ",，、;；:：":
-                return -20.0
+                return NO_END
             if not after.isspace() and (after.isalnum() or _wide(after)):
-                return -20.0
+                return NO_END
             if following and not following.isupper() and not following.isdigit() and following.isalnum() and not _wide(following):
-                return -12.0  # goes on around the quotation; scripts without case too
+                return NO_END  # goes on around the quotation; scripts without case too
             if following.isupper() and odd_case:
                 return -2.0
-            return 3.0
+            return 2.5
         if after in ",，、;；:：":
-            return -20.0
+            return NO_END
         wide = _wide(before) or _wide(after)
         if set(marks) <= {".", "．"}:
             if len(marks) > 1:
                 return 2.0 if not following.islower() or odd_case else -1.0
             if after.isalnum() and not wide:
-                return -20.0
+                return NO_END
             if before.isdigit() and after.isdigit():
-                return -20.0
-            m = re.search(r"[^\W_]+(?:\.\s?[^\W\d_])*[^\W_]*$|[^\s\d]+$", left)
+                return NO_END
+            left = line[max(0, start - _BACK) : start]
+            m = _TOKEN.search(left)
+            if following.isdigit() and before.isdigit() and any(map(_wide, left)):
+                return NO_END  # scripts without spaces end no sentence with this mark; it parts a number
             token = (m[0] if m else "").casefold().replace(" ", "")
-            tail = re.search(r"[^\s\W_]+$|[\wऀ-ॿ]+$", left)
+            tail = _TAIL.search(left)
             last = (tail[0] if tail else "").casefold()
             if last in NEVER or token in NEVER or any(token.endswith("." + x) for x in ("b", "h", "g", "e")):
-                return -20.0
+                return NO_END
             if token in EITHER or last in EITHER or re.search(r"(?:^|\d\s?)[ap]\.\s?m$", left.casefold()[-6:]) or re.search(r"\b[ap]\.\s?m$", left.casefold()[-5:]):
                 return -0.5
             if last in BEFORE_NUMBER and following.isdigit():
-                return -20.0
+                return NO_END
             if len(last) == 1 and last.isalpha() and not wide:
-                return -20.0  # an initial
+                return NO_END  # an initial
             if last.isdigit():
                 nxt = opening_word(line, end)
                 if nxt in MONTHS_DE or (following.islower() and not odd_case):
-                    return -20.0
+                    return NO_END
                 return 3.0
-            return 4.0 if not (wide and after.isdigit()) else -20.0
+            return 4.0 if not (wide and after.isdigit()) else NO_END
         if set(marks) <= {"…", ".", "．"}:
             return 3.5 if wide or odd_case or not following.islower() else -1.0
         if wide and following and not following.isspace():
@@ -222,39 +241,41 @@ class Segmenter:
     def line(self, line: str) -> list[int]:
         """Ends of the sentences of one line (plain, without ignorable characters)."""
         n = len(line)
-        letters = [c for c in line if c.isalpha()]
-        cased = [c for c in letters if c.isupper() or c.islower()]
-        upper = sum(c.isupper() for c in cased)
-        # cased alike or at random: case says nothing
-        starts = re.findall(r"(?<!\w)[^\W\d_]{2,}", line)
-        odd_case = bool(cased) and (upper * 2 > len(cased) or upper == 0 or (len(starts) > 3 and sum(w[0].isupper() for w in starts if w[0].isupper() or w[0].islower()) > 0.85 * len(starts)))
-        cuts: list[tuple[int, float]] = []
-        if letters and sum(map(_thai, letters)) * 2 > len(letters):
+        marks = list(_MARKS.finditer(line))
+        thai = "".join(_THAI.findall(line))
+        if thai:
+            thai = sum(map(str.isalpha, thai)) * 2 > sum(map(str.isalpha, line))
+        if not marks and not thai:
+            return [n]
+        nodes: dict[int, tuple[float, float]] = {}  # place: (closing of the span before, opening of the one behind)
+        if thai:
             for m in re.finditer(r"\s+", line):
                 a, b = line[m.start() - 1 : m.start()], line[m.end() : m.end() + 1]
                 if a and b and not a.isdigit() and not b.isdigit() and (b.isalnum() or b in _PAIRS or b in _EVEN):
-                    cuts.append((m.start(), 6.0))
-        for m in _MARKS.finditer(line):
+                    nodes[m.start()] = (6.0, 0.0)
+        upper = sum(map(str.isupper, line))
+        cased = upper + sum(map(str.islower, line))
+        odd_case = False  # cased alike or at random: case says nothing
+        if cased:
+            odd_case = upper * 2 > cased or upper == 0
+            if not odd_case:
+                starts = [w[0] for w in _START.findall(line)]
+                odd_case = len(starts) > 3 and sum(map(str.isupper, starts)) > 0.85 * len(starts)
+        for m in marks:
             end = m.end()
-            places = [end]
-            while end < n and line[end] in _CLOSERS:
+            mark = m[0].strip()
+            start = m.start() + len(m[0]) - len(m[0].lstrip())
+            while True:  # behind the marks and behind each closing quote or bracket
+                if 0 < end < n:
+                    found = (self._closing(line, start, mark, end, odd_case), self._opening(line, end, odd_case))
+                    if end not in nodes or sum(found) > sum(nodes[end]):
+                        nodes[end] = found
+                if end >= n or line[end] not in _CLOSERS:
+                    break
                 end += 1
-                places.append(end)
-            # closers after a space, as in "text. )"
-            for place in places:
-                if 0 < place < n:
-                    score = self._closing(line, m.start() + len(m[0]) - len(m[0].lstrip()), m[0].strip(), place, odd_case)
-                    if score > -10:
-                        score += self._opening(line, place, odd_case)
-                        if score > -6:
-                            cuts.append((place, score))
-        if not cuts:
+        if all(c + o < NO_END / 2 for c, o in nodes.values()):
             return [n]
-        gain: dict[int, float] = {}
-        for place, score in cuts:
-            gain[place] = max(score, gain.get(place, -99.0))
-        self._close(line, gain)
-        return self._search(line, sorted(gain), gain)
+        return self._search(line, nodes)
 
     @staticmethod
     def _pairs(line: str) -> list[tuple[int, int]]:
@@ -279,61 +300,61 @@ class Segmenter:
                 del stack[at - 1 :]
         return out
 
-    def _close(self, line: str, gain: dict[int, float]) -> None:
-        """Takes out of gain all places inside pairs that the sentence goes on around, and those inside other
-        pairs unless they gain more than OPENED together."""
-        nodes = sorted(gain)
-
-        def between(a: int, b: int) -> list[int]:
-            return [p for p in nodes[bisect_right(nodes, a) : bisect_right(nodes, b)] if p in gain]
-
-        for start, end in self._pairs(line):
-            inside = between(start, end)
-            if not inside:
-                continue
-            left, right = start, end + 1
-            while left and not line[left - 1].isalnum():
-                left -= 1
-            while right < len(line) and not line[right].isalnum():
-                right += 1
-            alone = (not left or between(left, start)) and (right == len(line) or between(end, right))
-            if not alone or sum(max(0.0, gain[p]) for p in inside) <= OPENED:
-                for p in inside:
-                    del gain[p]
-
-    def _search(self, line: str, nodes: list[int], gain: dict[int, float]) -> list[int]:
-        """The best chain, in linear time: of the beginnings of a span that weigh the same, only the best is tried."""
-        ends = [*nodes, len(line)]
-        starts = [0, *nodes]
-        best = [0.0] + [-1e18] * len(ends)
-        back = [0] * (len(ends) + 1)
-        first: list[int] = []  # best beginning up to each place
-        last = bare = -1  # last part with a word; best beginning after it
-        long = -1  # last beginning from which the span has three characters
-        for j, (a, b) in enumerate(zip(starts, ends)):
-            first.append(j if not first or best[j] > best[first[-1]] else first[-1])
-            if any(c.isalnum() for c in line[a:b]):
-                last, bare = j, -1
-            while long < j and b - starts[long + 1] >= 3:
-                long += 1
-                if long > last and (bare < 0 or best[long] > best[bare]):
-                    bare = long
-            options = list(range(long + 1, j + 1))
-            if min(last, long) >= 0:
-                options.append(first[min(last, long)])
-            if bare >= 0:
-                options.append(bare)
-            top = -1e18
-            for i in sorted(options):
-                score = best[i] - (0.0 if i <= last else 40.0) - (1.0 if i > long else 0.0)
-                if score > top:
-                    top, back[j + 1] = score, i
-            best[j + 1] = top + (gain[b] if j < len(ends) - 1 else 0.0)
-        out, k = [], len(ends)
-        while k:
-            out.append(ends[k - 1])
+    def _search(self, line: str, nodes: dict[int, tuple[float, float]]) -> list[int]:
+        """The best chain of spans, in one pass.
+
+        Per pair of marks that is open, the ends so far from which a span may go on are kept:
+        the best of those that no price of length or words can touch any more, and the few
+        recent ones that are not worse than an earlier one.
+        """
+        places = [0, *sorted(nodes), len(line)]
+        events = [(p, 1, j) for j, p in enumerate(places[1:], 1)]
+        if _ANY_PAIR.search(line):
+            for a, b in self._pairs(line):
+                events += [(a, 2, 0), (b + 1, 0, 0)]
+            events.sort()
+        back = [0] * len(places)
+        words = at = 0  # stretches with a letter or digit so far
+        # (score, node, place, words at its birth, words at which it stops being of use or -1)
+        levels: list[list] = [[None, [(0.0, 0, 0, 0, -1)]]]
+        for place, kind, j in events:
+            if place > at:
+                words += any(map(str.isalnum, line[at:place]))
+                at = place
+            settled, recent = levels[-1]
+            if kind == 2:  # a span from right before the pair may end inside
+                levels.append([None, [(x[0] - CROSS, *x[1:4], -1) for x in recent if x[3] == words and (x[4] < 0 or x[4] == words)]])
+            elif kind == 0:  # a span from inside may end right behind the pair
+                inside = [*recent, settled] if settled else recent
+                levels.pop()
+                levels[-1][1] += [(x[0] - CROSS, *x[1:4], words) for x in inside if x[4] < 0 or x[4] == words]
+            else:
+                top, best = -math.inf, -1
+                if settled:
+                    top, best = settled[0], settled[1]
+                keep = []
+                for x in recent:
+                    if x[4] >= 0 and x[4] != words:
+                        continue
+                    lacks = SHORT - (place - x[2])
+                    score = x[0] - (LACKS * lacks if lacks > 0 else 0.0) - (WORDLESS if x[3] == words else 0.0)
+                    if score > top or (score == top and x[1] < best):
+                        top, best = score, x[1]
+                    if lacks > 0 or x[3] == words or x[4] >= 0:
+                        keep.append(x)
+                    elif settled is None or x[0] > settled[0]:
+                        settled = x
+                back[j] = best
+                if best >= 0 and j < len(places) - 1:
+                    score = top + sum(nodes[place])
+                    if score > NO_END / 2 and (settled is None or score > settled[0]) and all(score > x[0] for x in keep if x[4] < 0):
+                        keep.append((score, j, place, words, -1))
+                levels[-1] = [settled, keep]
+        out, k = [], len(places) - 1
+        while k > 0:
+            out.append(places[k])
             k = back[k]
-        return out[::-1]
+        return out[::-1] if k == 0 else [len(line)]
 
     def text(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) of every sentence in code points of the text."""
@@ -345,12 +366,11 @@ class Segmenter:
             stop = part.start() if part else len(text)
             if stop > at:
                 raw = text[at:stop]
-                keep = [i for i, c in enumerate(raw) if not (c > "~" and SHAPES[ord(c)] is None and ignorable(ord(c)))] if not raw.isascii() else None
-                plain = raw.translate(_PLAIN)
-                if keep is not None and len(keep) < len(raw):
-                    plain = "".join(plain[i] for i in keep)
-                else:
-                    keep = None
+                plain, keep = raw.translate(_PLAIN), None
+                gone = {c for c in set(raw) if c > "~" and SHAPES[ord(c)] is None and ignorable(ord(c))}
+                if gone:
+                    keep = [i for i, c in enumerate(raw) if c not in gone]
+                    plain = "".join([plain[i] for i in keep])
                 begin = 0
                 ends = self.line(plain)
                 for k, end in enumerate(ends):
