@@ -127,6 +127,44 @@ def test_leaks(spark):
     assert leaks.leaked_documents(leaks.leaked(n, items)).where("doc_id = 7").first()["worst_item_id"] == 2
 
 
+def test_banded_alignment_keeps_the_edit_budget():
+    random.seed(11)
+    item = "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    index = leaks.LeakIndex.load(leaks.LeakIndex([(7, item)]).dump())
+    note = "0" * 30 + item[:12] + "?" + item[13:20] + item[21:34] + "0" * 30  # a replacement and a deletion in 34 characters
+    assert index.leaks([note], 0.5, 2) == [(0, 7, 34, 60)]
+    assert index.leaks([note], 0.5, 1) == []
+    more = "0" * 9 + item[:12] + "??" + item[12:40] + "0" * 9  # two insertions
+    assert index.leaks(["0" * 99, more, note], 0.5, 2) == [(1, 7, 40, 60), (2, 7, 34, 60)]
+    assert index.leaks([more], 0.5, 0) == [] and index.leaks([item[:29] + "-" * 40, "-" * 40 + item], 0.5, 0) == [(1, 7, 60, 60)]
+
+
+def test_alignment_against_edit_distance():
+    """Every span that is reported lies within the budget of some part of the note."""
+    random.seed(12)
+    for _ in range(60):
+        item = "".join(random.choice("abcd") for _ in range(50))
+        part = list(item[5:45])
+        for _ in range(3):
+            part[random.randrange(len(part))] = random.choice(["", "x", "ab"])
+        note = "zz" + "".join(part) + "zz"
+        for edits in (0, 1, 2, 3):
+            for s, e in leaks.stretches(leaks.codes(note), leaks.codes(item), -8, 8, 0, len(note), 12, edits):
+                assert min(levenshtein(item[s:e], note[a:b]) for a in range(len(note)) for b in range(a + e - s - edits, min(len(note), a + e - s + edits) + 1)) <= edits
+
+
+def test_many_items_in_one_pass(spark):
+    random.seed(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(random.choice(letters) for _ in range(60)) for _ in range(20_000)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    notes = spark.createDataFrame([(k, texts[k * 700] + " and " + texts[k * 700 + 1][:40]) for k in range(20)], "doc_id bigint, text string")
+    found = leaks.leaked(notes, items, block_chars=300_000)  # four blocks
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(k, k * 700 + x) for k in range(20) for x in (0, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
 def test_leaks_against_brute_force(spark, sf):
     from noteforge.llm.queries import p6_found
     from noteforge.session import table
