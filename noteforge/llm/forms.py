@@ -14,9 +14,9 @@ import sys
 import unicodedata
 from collections import Counter
 
-LATIN, GREEK, CYRILLIC = 0, 1, 2
+LATIN, GREEK, CYRILLIC, ARMENIAN, CHEROKEE, LISU = range(6)
 
-# Letters of Greek and Cyrillic that have the shape of a Latin letter.
+# Letters of other scripts that have the shape of a Latin letter.
 GREEK_SHAPES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N",
     "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
@@ -28,13 +28,32 @@ CYRILLIC_SHAPES = {
     "ј": "j", "ԛ": "q", "ԝ": "w", "ԁ": "d", "һ": "h", "ӏ": "l", "ү": "y",
 }
 
-_TO_LATIN = {**GREEK_SHAPES, **CYRILLIC_SHAPES}
+OTHER_SHAPES = {
+    "Օ": "O", "օ": "o", "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M",
+    "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F",
+    "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y",
+    "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+}
+# Letters that many typefaces draw much like a Latin letter; what they stand for depends on their neighbours.
+NEAR_SHAPES = {
+    "α": "a", "γ": "y", "η": "n", "ι": "i", "κ": "k", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "β": "ß",
+    "г": "r", "к": "k", "п": "n", "ь": "b", "ѡ": "w", "ѵ": "v", "Ь": "b", "Ѵ": "V", "ո": "n", "ս": "u", "հ": "h",
+    "ց": "g", "զ": "q", "յ": "j", "Տ": "S", "Ս": "U", "Լ": "L", "ı": "i", "ɡ": "g", "ɑ": "a", "ɩ": "i", "ſ": "f",
+    "ʋ": "u", "ᴏ": "o", "Ꭵ": "i", "Ꮟ": "b", "Ꮞ": "4", "Ꮤ": "W", "Ꮢ": "R",
+}
+
+_TO_LATIN = {**GREEK_SHAPES, **CYRILLIC_SHAPES, **OTHER_SHAPES}
 _OPTIONS: dict[str, list[str]] = {}
 for _c, _l in _TO_LATIN.items():
     _OPTIONS.setdefault(_l, [_l]).append(_c)
+_NEAR: dict[str, list[str]] = {}
+for _c, _l in NEAR_SHAPES.items():
+    _NEAR.setdefault(_l, []).append(_c)
+    _NEAR.setdefault(_c, []).extend(_OPTIONS.get(_l, [_l]))
 
-#: A token: letters of the three scripts with their combining marks.
-TOKEN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ̀-ͯͰ-ͽͿ-ΆΈ-ϿЀ-ҁ҃-ԯḀ-῿]+")
+#: A token: letters of the scripts above with their combining marks.
+TOKEN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ʯ̀-ͯͰ-ͽͿ-ΆΈ-ϿЀ-ҁ҃-ԯԱ-Ֆՙ-ևᎠ-ᏽᴀ-ᴫḀ-῿ꓐ-ꓷꭰ-ꮿ]+")
 
 # Format characters that are seen, unlike the rest of their category.
 _SEEN_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
@@ -62,7 +81,7 @@ class _Shapes(dict):
                 out = None
             elif unicodedata.category(ch) == "Zs":
                 out = " "
-            elif kind.startswith(("<wide>", "<narrow>")):
+            elif kind.startswith(("<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")):
                 out = "".join(chr(int(x, 16)) for x in kind.split()[1:])
             elif 0x2E80 <= cp <= 0x2FDF and kind.startswith("<compat>"):
                 out = chr(int(kind.split()[1], 16))
@@ -85,7 +104,11 @@ def script_of(ch: str) -> int:
         return GREEK
     if "Ѐ" <= ch <= "ԯ":
         return CYRILLIC
-    return LATIN
+    if "\u0531" <= ch <= "\u0587":
+        return ARMENIAN
+    if "\u13a0" <= ch <= "\u13fd" or "\uab70" <= ch <= "\uabbf":
+        return CHEROKEE
+    return LISU if "\ua4d0" <= ch <= "\ua4f7" else LATIN
 
 
 def skeleton(token: str) -> str:
@@ -94,14 +117,17 @@ def skeleton(token: str) -> str:
 
 
 class LatticeReader:
-    """Chooses one spelling for each token among its look-alikes by Viterbi search.
-
-    The lattice of a token is built from its skeleton only, so look-alike tokens always get
-    the same spelling. A path pays SWITCH for every change of script; within a script the
-    letters are scored by bigrams of tokens written in one script (counts over all texts).
+    """Reads each token as the best path through the lattice of what its letters may stand for.
+
+    A letter may stand for any letter of its shape, at no price, or for one of a similar shape,
+    at the price NEAR. A path pays SWITCH for every change of script, so a reading in one script
+    is taken wherever there is one; among those the letters are scored by bigrams of tokens
+    written in one script (counts over all texts). The lattice is the same for all letters of
+    one shape, so look-alikes are read alike; whether a similar letter (a rho for a p) is one
+    is decided by its neighbours and the bigrams.
     """
 
-    SWITCH = 25.0
+    SWITCH, NEAR = 1e4, 9.0
 
     def __init__(self, bigrams: dict[str, int] | None = None, cache_size: int = 200_000):
         self.bigrams = bigrams or {}
@@ -114,16 +140,17 @@ class LatticeReader:
     def _log(self, a: str, b: str) -> float:
         return math.log((self.bigrams.get(a + b, 0) + 0.1) / (self.first.get(a, 0) + 30.0))
 
-    def _search(self, letters: str) -> str:
-        def options(c: str) -> list[str]:
-            return _OPTIONS.get(c, [c])
+    @staticmethod
+    def _arcs(c: str) -> list[tuple[str, float]]:
+        return [*((o, 0.0) for o in _OPTIONS.get(c, [c])), *((o, LatticeReader.NEAR) for o in _NEAR.get(c, ()))]
 
-        best = {c: (self._log("^", c), c) for c in options(letters[0])}
+    def _search(self, letters: str) -> str:
+        best = {c: (self._log("^", c) - price, c) for c, price in self._arcs(letters[0])}
         for x in letters[1:]:
             step: dict[str, tuple[float, str]] = {}
-            for c in options(x):
+            for c, price in self._arcs(x):
                 s = script_of(c)
-                step[c] = max((score + self._log(p, c) - self.SWITCH * (script_of(p) != s), path + c) for p, (score, path) in best.items())
+                step[c] = max((score + self._log(p, c) - price - self.SWITCH * (script_of(p) != s), path + c) for p, (score, path) in best.items())
             best = step
         # of equal scores the Latin spelling is taken
         return max((score + self._log(p, "$"), -ord(path[0]), path) for p, (score, path) in best.items())[2]
@@ -133,8 +160,9 @@ class LatticeReader:
         found = self.cache.get(sk)
         if found is None:
             letters = "".join(c for c in sk if not unicodedata.combining(c))
-            forced = {script_of(c) for c in letters if c not in _OPTIONS}
-            if not letters or forced == {LATIN}:  # every other script is excluded by some letter
+            # a letter that is Latin only forces all others to their Latin reading, which has no price
+            forced = any(c not in _OPTIONS and c not in _NEAR and script_of(c) == LATIN for c in letters)
+            if not letters or (forced and all(script_of(c) == LATIN and c not in NEAR_SHAPES for c in letters)):
                 found = unicodedata.normalize("NFC", sk)
             else:
                 chosen = iter(self._search(letters))
@@ -205,7 +233,7 @@ def content(text: str | None) -> str:
 
 
 _SEPARATOR = re.compile("[\n\r\x0b\x0c\x85  |｜;；/／]")
-_FIELD = re.compile(r"\s*([^:：]{1,40})[:：](.+)", re.S)
+_FIELD = re.compile(r"\s*([^:：]+)[:：](.+)", re.S)
 _INNER_END = re.compile(r"[。！？!?।…][\"”’」』）)]*\w")
 
 

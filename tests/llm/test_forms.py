@@ -110,3 +110,16 @@ def test_hot_group_is_spread(spark):
     rows = [("d", i, random.choice(["same text", "Same  text"])) for i in range(600)] + [("d", 1000 + i, f"other {i}") for i in range(300)]
     got = copies.copy_members(table(spark, rows)).collect()
     assert len(got) == 599 and {r["first_id"] for r in got} == {0}
+
+
+def test_similar_letters_are_read_by_their_neighbours():
+    from collections import Counter
+
+    from noteforge.llm.forms import LatticeReader, bigram_counts, fields
+
+    known = Counter({w: 200 for w in "the paper page rain gate pipe apple fine girl coat people".split()}) + Counter({"παρα": 20, "ραδιο": 20})
+    reader = LatticeReader(bigram_counts(known))
+    for seen, meant in [("ρaper", "paper"), ("gαte", "gate"), ("fıne", "fine"), ("ɡirl", "girl"), ("cօat", "coat"), ("Ꭺpple", "Apple"), ("ꓑage", "Page"), ("a‑b", "a‐b"), ("ﺎ", "ا")]:
+        assert reader.text(seen) == reader.text(meant) == meant
+    assert reader.text("ραδιο") == "ραδιο" and reader.text("παρα") != reader.text("napa")
+    assert fields("k" * 50 + ": one; m: two") == [("k" * 50, "one"), ("m", "two")]
