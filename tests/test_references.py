@@ -50,6 +50,31 @@ def test_state_merges(spark):
     assert R.current_orphans(R.merge_counts(state, more)).count() == 0
 
 
+def test_deliveries_give_what_one_gives(spark):
+    """Three deliveries with a state merged between them, whole and split keys, withdrawn references."""
+    random.seed(9)
+    when = lambda: DAY + dt.timedelta(hours=random.randrange(24 * 60))
+    rows = [(i, random.choice(["a", "b", "c", "hot", "hot"]), when(), random.choice([None, when()])) for i in range(300)]
+    targets = [(random.choice(["a", "b", "hot", "hot", "d"]), when(), random.choice([None, when()]), "") for _ in range(60)]
+    r = spark.createDataFrame(rows, "id bigint, key string, at timestamp_ntz, gone timestamp_ntz")
+    t = spark.createDataFrame(targets, "key string, since timestamp_ntz, until timestamp_ntz, extra string")
+    refs, present = R.references(r, "t", "id", F.col("key"), "at", until="gone"), R.spans(t, "t", F.col("key"), "since", "until")
+    want = {tuple(x) for x in R.orphans(refs, present).collect()}
+    every = R.changes(refs, present)
+    for hot in (1_000_000, 15):
+        state, got = None, []
+        for low, high in ((0, 15), (15, 40), (40, 999)):
+            part = every.where((F.col("at") >= DAY + dt.timedelta(days=low)) & (F.col("at") < DAY + dt.timedelta(days=high)))
+            got += [tuple(x) for x in R.delivered(part, state, hot).collect()]
+            state = R.summed(part) if state is None else R.merge_counts(state, R.summed(part))
+        assert len(got) == len(set(got)) and set(got) == want
+    live = {}
+    for i, key, at, gone in rows:
+        live[key] = live.get(key, 0) + (gone is None)
+    there = {k for k, s, u, _ in targets if u is None}
+    assert {(x["key"], x["refs"]) for x in R.current_orphans(state).collect()} == {(k, n) for k, n in live.items() if n and k not in there}
+
+
 def test_empty(spark):
     r, t = tables(spark, [], [])
     assert R.orphans(r, t).count() == 0
