@@ -3,7 +3,8 @@
 Slots of equal size are given to sources by golden-ratio points mapped through the cumulative
 shares, so every stretch of the schedule is close to the targets. The notes of each source
 are shuffled, laid end to end (repeated as whole passes, each shuffled anew) and cut into
-blocks of one slot each; the r-th slot of a source takes its r-th block.
+blocks of one slot each; a note belongs to the block that holds its middle, so a source gives
+its share to within half a note; the r-th slot of a source takes its r-th block.
 """
 
 from __future__ import annotations
@@ -28,23 +29,21 @@ BUCKET_NOTES = 20_000
 CHUNK_SLOTS = 100_000
 
 
-def token_counts(df: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER, pattern: str | None = None) -> DataFrame:
-    """df with n_tokens of text_col by a public byte-level vocabulary; null counts 0."""
+def token_counts(df: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+    """df with n_tokens of text_col by a public byte-level vocabulary; null counts 0.
+
+    The vocabulary file is read by the driver and sent to the tasks (about a megabyte).
+    """
     ship(df.sparkSession)
+    with open(tokenizer, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        pat = pattern
-        if pat is None:
-            try:
-                from public_tokenizers import PATTERN as pat
-            except ImportError:
-                pat = PATTERN
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=ranks, special_tokens={})
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for s in batches:
             yield s.map(lambda t: len(enc.encode_ordinary(t)) if t else 0)
 
@@ -132,7 +131,7 @@ def blocks(sized: DataFrame, plan: Plan, seed: int = 1) -> DataFrame:
     return (
         used.withColumn("inside", inside)
         .join(before, ["source", "pass", "bucket"])
-        .select("source", F.floor((F.col("before") + F.col("inside")) / plan.block).cast("bigint").alias("turn"), "doc_id", "n_tokens", "pass", (F.col("before") + F.col("inside")).cast("bigint").alias("at"))
+        .select("source", F.floor((F.col("before") + F.col("inside") + F.col("n_tokens") / 2) / plan.block).cast("bigint").alias("turn"), "doc_id", "n_tokens", "pass", (F.col("before") + F.col("inside")).cast("bigint").alias("at"))
     )
 
 
@@ -143,9 +142,9 @@ class Mixture:
     target rows of one source count once (the largest). Empty tables give empty results.
     """
 
-    def __init__(self, notes: DataFrame, targets: DataFrame, total: int | None = None, block: int | None = None, seed: int = 1, tokenizer: str = TOKENIZER):
+    def __init__(self, notes: DataFrame, targets: DataFrame, total: int | None = None, block: int | None = None, seed: int = 1, tokenizer: str = TOKENIZER, pattern: str = PATTERN):
         self.spark, self.seed = notes.sparkSession, seed
-        self.sized = cut(token_counts(notes.select("doc_id", "source", "text"), "text", tokenizer).select("doc_id", "source", "n_tokens"), "sized")
+        self.sized = cut(token_counts(notes.select("doc_id", "source", "text"), "text", tokenizer, pattern).select("doc_id", "source", "n_tokens"), "sized")
         have = self.sized.where("n_tokens > 0 AND source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("notes"))
         listed = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
         rows = listed.join(have, "source", "left").select("source", "share", "repeats", F.coalesce("tokens", F.lit(0)), F.coalesce("notes", F.lit(0))).collect()  # one per listed source
@@ -160,9 +159,14 @@ class Mixture:
         return self.uses().groupBy("doc_id", "source", "n_tokens").agg(F.count("*").cast("int").alias("repeats"))
 
     def shares(self) -> DataFrame:
-        """(source, target_share, actual_share, tokens, notes, most_repeats, supply_tokens), listed sources all."""
+        """(source, target_share, actual_share, aim_share, tokens, short_tokens, notes, most_repeats, supply_tokens), listed sources all.
+
+        aim_share is the target over the sources that have notes; short_tokens is what a source
+        lacks of it, because its supply and repeats end or its notes are long for its share.
+        """
         got = self.chosen().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("notes"), F.max("repeats").alias("most_repeats"))
-        listed = self.spark.createDataFrame(list(zip(self.plan.sources, self.plan.shares, self.plan.tokens)), "source string, target_share double, supply_tokens bigint")
+        listed = self.spark.createDataFrame(list(zip(self.plan.sources, self.plan.shares, self.plan.weights, self.plan.tokens)), "source string, target_share double, aim_share double, supply_tokens bigint")
         joined = listed.join(got, "source", "left").fillna(0, ["tokens", "notes", "most_repeats"])
         whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row per listed source
-        return joined.select("source", "target_share", (F.col("tokens") / F.greatest(whole, F.lit(1))).alias("actual_share"), "tokens", "notes", "most_repeats", "supply_tokens")
+        short = F.greatest(F.lit(0), F.round(F.col("aim_share") * whole).cast("bigint") - F.col("tokens"))
+        return joined.select("source", "target_share", (F.col("tokens") / F.greatest(whole, F.lit(1))).alias("actual_share"), "aim_share", "tokens", short.alias("short_tokens"), "notes", "most_repeats", "supply_tokens")

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from noteforge.llm import leaks, mixing, neighbours, overlap
 from noteforge.llm.fmindex import FMIndex
 from noteforge.llm.forms import content
@@ -281,6 +283,22 @@ def test_mixture(spark, sf):
     assert again == {(r["doc_id"], r["repeats"]) for r in chosen}
 
 
+def test_shares_of_the_test_tables(spark, sf):
+    """Each source is within half its longest note, and a slot, of its share; what lacks is reported."""
+    from noteforge.session import table
+
+    m = mixing.Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    longest = {r["source"]: r["n"] for r in m.sized.groupBy("source").agg(F.max("n_tokens").alias("n")).collect()}
+    shares = m.shares().collect()
+    assert len(shares) == 12 and abs(sum(r["actual_share"] for r in shares) - 1) < 1e-9
+    for r in shares:
+        if r["aim_share"] > 0:
+            assert abs(r["tokens"] - r["aim_share"] * m.plan.total) <= longest[r["source"]] / 2 + 3 * m.plan.block
+            assert r["short_tokens"] == max(0, round(r["aim_share"] * sum(x["tokens"] for x in shares)) - r["tokens"])
+        else:
+            assert r["tokens"] == 0
+
+
 def test_mixture_reaches_targets(spark):
     notes = spark.createDataFrame([(i, "big" if i < 3000 else "small" if i < 3300 else "unlisted", f"word{i % 97} " * (3 + i % 9)) for i in range(3500)] + [(9999, "big", None), (9998, None, "x")], "doc_id bigint, source string, text string")
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.2, 3), ("none", 0.2, 5)], "source string, target_share double, max_repeats int")
