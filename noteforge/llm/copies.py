@@ -7,11 +7,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteforge.llm.forms import content, fields
-from noteforge.session import cut, salted_join, ship
+from noteforge.session import cut, ship
+
+#: Records of one content from which they are split.
+HOT = 100_000
 
 _FIELDS, _PAIR = "\x1e", "\x1f"
 
@@ -61,28 +64,32 @@ def _fingerprints(df: DataFrame, bits: int) -> DataFrame:
     return df.mapInArrow(run, "table_name string, id bigint, print binary, norm string")
 
 
-def copy_members(df: DataFrame, bits: int = 128) -> DataFrame:
-    """Every copy of (table_name, id, text) with the first record of its content: (table_name, first_id, copy_id).
+def membership(df: DataFrame, bits: int = 128, hot: int = HOT) -> DataFrame:
+    """(table_name, first_id, id): every record with the first record of its content, itself if there is none before.
 
-    The first has no row of its own. Null texts and texts without letter or digit take no
-    part; exact copies count; empty input gives no rows; extra columns are ignored.
-    Fingerprints only propose: each member's fields are compared with those of the first,
-    and members that differ (a collision) are grouped again among themselves until none
-    is left. Hot contents are spread by salt.
+    Null texts and texts without letter or digit take no part. Fingerprints only propose:
+    each member's fields are compared with those of the first, and members that differ (a
+    collision) are grouped again among themselves until none is left. Texts move once, to
+    their fingerprint; a fingerprint with more than `hot` records is split by record, and the
+    first record's text goes to the parts (at most records / hot of them).
     """
     ship(df.sparkSession)
     same = F.udf(same_fields, "boolean", useArrow=True)
     left = cut(_fingerprints(df.select("table_name", "id", "text"), bits), "prints")
+    keys = ["table_name", "print"]
     done: DataFrame | None = None
     while True:
-        groups = left.groupBy("table_name", "print").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-        members = salted_join(left, groups, ["table_name", "print"], "id")
-        firsts = members.where("id = first_id").select("table_name", "first_id", F.col("norm").alias("first_norm"))
-        pairs = salted_join(members.where("id <> first_id"), firsts, ["table_name", "first_id"], "id")
+        many = left.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("hot_id")).where(F.col("n") > hot)
+        many = F.broadcast(many)
+        first = left.join(many, keys).where("id = hot_id").groupBy(*keys).agg(F.first("n").alias("n"), F.first("id").alias("hot_id"), F.first("norm").alias("hot_norm"))
+        rows = left.join(F.broadcast(first), keys, "left")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / hot), F.lit(1))).cast("int"))
+        order = Window.partitionBy(*keys, "part").orderBy("id")
+        rows = rows.withColumn("first_id", F.coalesce("hot_id", F.first("id").over(order))).withColumn("first_norm", F.coalesce("hot_norm", F.first("norm").over(order)))
         moved = F.col("norm") != F.col("first_norm")  # in the same order there is nothing to compare further
-        checked = pairs.withColumn("ok", ~moved | same(F.when(moved, F.col("norm")), F.when(moved, F.col("first_norm"))))
+        checked = rows.withColumn("ok", ~moved | same(F.when(moved, F.col("norm")), F.when(moved, F.col("first_norm"))))
         checked = cut(checked.select("table_name", "first_id", "id", "print", F.when(~F.col("ok"), F.col("norm")).alias("norm"), "ok"), "verified")
-        good = checked.where("ok").select("table_name", "first_id", F.col("id").alias("copy_id"))
+        good = checked.where("ok").select("table_name", "first_id", "id")
         done = good if done is None else done.unionByName(good)
         rest = checked.where("NOT ok")
         if rest.isEmpty():
@@ -90,10 +97,16 @@ def copy_members(df: DataFrame, bits: int = 128) -> DataFrame:
         left = rest.select("table_name", "id", "print", "norm")
 
 
-def collapse_copies(df: DataFrame, bits: int = 128) -> DataFrame:
+def copy_members(df: DataFrame, bits: int = 128, hot: int = HOT) -> DataFrame:
+    """Every copy of (table_name, id, text) with the first record of its content: (table_name, first_id, copy_id).
+
+    The first has no row of its own. Null texts and texts without letter or digit take no
+    part; exact copies count; empty input gives no rows; extra columns are ignored; rows with
+    one id count as one record.
+    """
+    return membership(df, bits, hot).where("id <> first_id").select("table_name", "first_id", F.col("id").alias("copy_id"))
+
+
+def collapse_copies(df: DataFrame, bits: int = 128, hot: int = HOT) -> DataFrame:
     """One row per distinct content: (table_name, first_id, n_copies), n_copies counting the first too."""
-    prints = _fingerprints(df.select("table_name", "id", "text"), bits).select("table_name", "id")
-    members = copy_members(df, bits)
-    counts = members.groupBy("table_name", "first_id").agg(F.count("*").alias("more"))
-    firsts = prints.join(members, (prints["table_name"] == members["table_name"]) & (prints["id"] == members["copy_id"]), "left_anti")
-    return firsts.withColumnRenamed("id", "first_id").join(counts, ["table_name", "first_id"], "left").select("table_name", "first_id", (F.coalesce("more", F.lit(0)) + 1).alias("n_copies"))
+    return membership(df, bits, hot).groupBy("table_name", "first_id").agg(F.count("*").alias("n_copies"))
