@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from noteforge.operators import encoding, retrieval
 from noteforge.plans.base import Book
 from noteforge.plans.retrieval_queries import corpus
-from noteforge.session import cut, shared_dir, table
+from noteforge.session import cut, scratch, table
 from noteforge.streaming import progress
 
 book = Book()
@@ -42,7 +40,7 @@ def t02_merged(spark, d):
     UNION ALL SELECT event_id, 'last_event', event_type FROM events) SELECT key, seq, value FROM i QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""")
 def t02_streamed(spark, d):
     """The events as two deliveries of files, folded by a stream run twice from its checkpoint."""
-    root = f"{shared_dir(spark)}/noteforge/stream-{next(tempfile._get_candidate_names())}"
+    root = scratch(spark, "stream")
     e = _events(spark, d).drop("user_id")
     for part in (0, 1):
         e.where(C("seq") % 2 == part).write.mode("append").option("ignoreNullFields", "false").json(f"{root}/in")

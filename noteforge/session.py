@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
@@ -33,17 +33,28 @@ def local_session(app: str = "noteforge", cpus: int | str = "*", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; only a local session gets one of its own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="noteforge-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/noteforge/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and any executor may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/noteforge/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -52,8 +63,8 @@ def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -
 
 
 def drop_cuts(spark: SparkSession) -> None:
-    """Remove every table that cut wrote to the shared folder; call it when the results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/noteforge")
+    """Remove what this application wrote to the shared folder (others' tables stay); call it when the results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -84,19 +95,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Sub-keys per key in salted joins: the hottest key is spread over so many tasks.
-SALTS = 16
-
-
-def salt_of(id_col: Column, salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
+#: Rows of one key from which a join splits it.
+HOT_ROWS = 100_000
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], id_col: str, salts: int = SALTS, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], id_col: str, hot: int = HOT_ROWS, how: str = "inner") -> DataFrame:
     """Join many rows to one row per key without sending a hot key to one task.
 
-    rows get a salt from id_col; groups (one row per key) are repeated once per salt.
+    Keys with more than `hot` rows (at most rows / hot of them) are split by id_col into parts
+    of about that size, and their group rows repeated once a part; other rows move once.
     """
-    left = rows.withColumn("_salt", salt_of(F.col(id_col), salts))
-    right = groups.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    many = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*keys, F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(many, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(id_col), parts).cast("int")).drop("_parts")
+    right = groups.join(many, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
