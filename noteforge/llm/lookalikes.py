@@ -81,8 +81,8 @@ def lookalike_twins(df: DataFrame) -> DataFrame:
 
     Result: (table_name, first_id, twin_id). Texts that are null or have no letter or digit
     take no part; exact repetitions of the first's text give no row; an empty table gives no
-    rows. Extra columns are ignored. Digests are 128 bit. A group of any size is spread over
-    SALTS tasks.
+    rows. Extra columns are ignored. Digests are 128 bit. Hot groups are split by
+    their counts.
     """
     ship(df.sparkSession)
     df = df.select("table_name", "id", "text")
