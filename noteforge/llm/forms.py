@@ -234,14 +234,15 @@ def content(text: str | None) -> str:
 
 _SEPARATOR = re.compile("[\n\r\x0b\x0c\x85  |｜;；/／]")
 _FIELD = re.compile(r"\s*([^:：]+)[:：](.+)", re.S)
+_NAME_ENDS = re.compile(r"[。！？।…]|[.!?][\"”’»)*_]*\s")  # a sentence ends before the colon
 _INNER_END = re.compile(r"[。！？!?।…][\"”’」』）)]*\w")
 
 
 def fields(text: str | None) -> list[tuple[str, str]] | None:
     """(name, value) contents if the text is a list of `key: value` fields, else None.
 
-    At least two fields, every part has a name and a value, names are distinct, and no
-    value runs on after a sentence end.
+    At least two fields, every part has a name and a value, names are distinct, no sentence
+    ends within a name, and no value runs on after a sentence end.
     """
     if not text or (":" not in text and "：" not in text):
         return None
@@ -250,7 +251,7 @@ def fields(text: str | None) -> list[tuple[str, str]] | None:
         name, value = "", ""
         if m := _FIELD.match(part):
             name, value = content(m[1]), content(m[2])
-            if not name or not value or name in names or _INNER_END.search(part):
+            if not name or not value or name in names or _INNER_END.search(part) or _NAME_ENDS.search(m[1]):
                 return None
             names.add(name)
             out.append((name, value))

@@ -123,3 +123,11 @@ def test_similar_letters_are_read_by_their_neighbours():
         assert reader.text(seen) == reader.text(meant) == meant
     assert reader.text("ραδιο") == "ραδιο" and reader.text("παρα") != reader.text("napa")
     assert fields("k" * 50 + ": one; m: two") == [("k" * 50, "one"), ("m", "two")]
+
+
+def test_prose_with_colons_is_no_field_list():
+    from noteforge.llm.forms import fields
+
+    long = "Beside the jars etc. stood a lamp. “Hands off!” cried a tailor. Whether soup or tea: the cook knows"
+    assert fields(long + "\nA second line. And more: so it ends") is None
+    assert fields("甲。乙：丙\n丁：戊") is None and fields("size: 3 cm\ncolour: red") == [("size", "3cm"), ("colour", "red")]
