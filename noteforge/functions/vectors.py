@@ -21,7 +21,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """divided by the norm, which counts at least EPS."""
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(EPS)))
+    # the norm is the element of an array of one, so it is taken once and not for each component
+    return F.element_at(F.transform(F.array(F.greatest(norm(v), F.lit(EPS))), lambda n: F.transform(v, lambda x: x.cast("double") / n)), 1)
 
 
 def finite(v: Column) -> Column:

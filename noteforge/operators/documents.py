@@ -123,6 +123,11 @@ def byte_offsets(df: DataFrame, order: str, line: Column) -> DataFrame:
     return running(df.select(order, size.cast("bigint").alias("size")), order, F.col("size"), "begin").select(order, "begin", "size")
 
 
+def counters(entries: DataFrame, by: list[str], image: str = "image_id", text: str = "text") -> DataFrame:
+    """(by, n_texts, n_images, n_empty): texts, distinct images and empty texts of each group."""
+    return entries.groupBy(*by).agg(F.count("*").alias("n_texts"), F.count_distinct(image).alias("n_images"), F.count_if(F.col(text).isNull() | (F.col(text) == "")).alias("n_empty"))
+
+
 def header(docs: DataFrame, images: DataFrame, relation: DataFrame, version: int = 2) -> DataFrame:
     """One row of counts."""
     return one_row([docs.agg(F.count("*").alias("document_count")), images.agg(F.count("*").alias("image_count")), relation.agg(F.count("*").alias("relation_count"))]).select(F.lit(version).alias("schema_version"), "document_count", "image_count", "relation_count")

@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.operators.retrieval import _matrix, query_blocks, ranked
+from noteforge.operators.retrieval import _best, _matrix, query_blocks, ranked
 from noteforge.session import cut, ship
+from noteforge.sinks import store
 
 
 class Encoder(Protocol):
@@ -67,10 +68,7 @@ def extract(df: DataFrame, key: str, value: str, encoder: Encoder, done: DataFra
 def extract_into(df: DataFrame, key: str, value: str, encoder: Encoder, path: str) -> int:
     """Appends what is missing in the Parquet directory `path`; returns the rows added. Safe to repeat."""
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path)
-    except Exception:  # nothing written yet
-        done = None
+    done = spark.read.parquet(path) if store.exists(spark, path) else None  # a store that cannot be read is an error
     new = cut(extract(df, key, value, encoder, done), "encoded")
     new.write.mode("append").parquet(path)
     return new.count()
@@ -130,8 +128,10 @@ def probe(queries: DataFrame, index: DataFrame, row: str, centres: np.ndarray, k
                     at = np.flatnonzero(cell == c)
                     qs = wanted[int(c)]
                     scores = np.round(q[qs] @ v[at].T, 12)
-                    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[qs], top.shape[1])), pa.array(rows[at][top].ravel()), pa.array(np.take_along_axis(scores, top, 1).ravel())], names=["qid", row, "score"])
+                    own = rows[at]
+                    best = [_best(s, own, k) for s in scores]
+                    n = [len(b) for b in best]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[qs], n)), pa.array(own[np.concatenate(best)]), pa.array(np.concatenate([s[b] for s, b in zip(scores, best)]))], names=["qid", row, "score"])
 
         part = index.where(F.col("cell").isin(list(wanted))).select("cell", row, "v").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteforge.session import cut
+
 TASKS = [("muge", "text_to_image"), ("flickr", "text_to_image"), ("flickr", "image_to_text"), ("coco", "text_to_image"), ("coco", "image_to_text")]
 
 
@@ -55,16 +58,30 @@ def query_metrics(rows: DataFrame, query: str = "query_id", position: str = "pos
 
 
 def nearest_rank(df: DataFrame, value: str, ratio: float) -> DataFrame:
-    """The value at ceil(ratio * n) of the sorted values; 0 if there is none (one row)."""
-    return df.agg(F.coalesce(F.expr(f"percentile_disc({ratio}) WITHIN GROUP (ORDER BY {value})"), F.lit(0.0)).alias("value"))
+    """The value at ceil(ratio * n) of the sorted values; 0 if there is none (one row). Null values do not count.
+
+    Equal values are counted first and the counts laid out in ranges of the value; the driver
+    sees one sum a range, and one range is numbered. Runs when it is called.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counted = cut(counted.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()), "ranks")
+    sums = sorted((r["_p"], r["n"]) for r in counted.groupBy("_p").agg(F.sum("_n").alias("n")).collect())
+    wanted = max(1, math.ceil(round(ratio * sum(n for _, n in sums), 9)))
+    for part, n in sums:
+        if wanted <= n:
+            upto = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
+            return counted.where(F.col("_p") == part).withColumn("_upto", upto).where(F.col("_upto") >= wanted).agg(F.min("_v").alias("value"))
+        wanted -= n
+    return df.sparkSession.createDataFrame([(0.0,)], "value double")
 
 
 def macro_metrics(per_query: DataFrame) -> DataFrame:
     """One row: number of queries and rows, means of the metrics (0 without queries), p95 of the mean latencies."""
+    p95 = nearest_rank(per_query, "avg_latency_ms", 0.95).first()["value"]
     names = ["precision_at_5", "precision_at_10", "ndcg_at_5", "ndcg_at_10", "avg_latency_ms"]
     return per_query.agg(
         F.count("*").alias("num_queries"), F.coalesce(F.sum("count"), F.lit(0)).alias("num_results"), *[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names],
-        F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY avg_latency_ms)"), F.lit(0.0)).alias("p95_latency_ms"),
+        F.lit(float(p95)).alias("p95_latency_ms"),
     )
 
 
@@ -143,6 +160,12 @@ def submission(rankings: DataFrame, k: int = 10) -> DataFrame:
     return top.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "image"))), lambda x: x["image"]).alias("image_ids"))
 
 
+def gallery(results: DataFrame, paths: str = "image_paths") -> DataFrame:
+    """(qid, rank, doc_row, position, image_path, caption): a row per image of a result, in order, with the score to 4 places."""
+    caption = F.format_string("#%d %.4f", F.col("rank"), F.round("score_mm", 4))
+    return results.select("qid", "rank", "doc_row", F.posexplode(paths).alias("position", "image_path"), caption.alias("caption"))
+
+
 def result_lines(results: DataFrame) -> DataFrame:
     """(qid, line): results as text rows, scores to 4 places."""
     return results.select("qid", F.format_string("%d. doc %d score %.4f", F.col("rank"), F.col("doc_row"), F.round("score_mm", 4)).alias("line"))

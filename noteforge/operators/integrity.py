@@ -49,19 +49,46 @@ def set_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right"))
 
 
-def metadata_violations(docs: DataFrame, images: DataFrame, relation: DataFrame) -> DataFrame:
+#: The only version of the metadata that is read; earlier ones must be migrated.
+SCHEMA_VERSION = 2
+
+
+def header_violations(header: DataFrame, docs: DataFrame, images: DataFrame, relation: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """V1: a header row (schema_version, document_count, image_count, relation_count[, manifest_hash]) against the tables.
+
+    manifest is a row (manifest_hash) as computed; without it the hash is not compared. No header row is a fault.
+    """
+    actual = [docs.agg(F.count("*").alias("n_documents")), images.agg(F.count("*").alias("n_images")), relation.select("doc_row", "image_row").distinct().agg(F.count("*").alias("n_relations"))]
+    if manifest is not None:
+        actual.append(manifest.agg(F.max("manifest_hash").alias("n_hash")))
+    names = {"document_count": "n_documents", "image_count": "n_images", "relation_count": "n_relations"} | ({"manifest_hash": "n_hash"} if manifest is not None else {})
+    stated = header.agg(F.count("*").alias("n_headers"), F.max("schema_version").alias("schema_version"), *[F.max(c).alias(c) for c in names])
+    row = one_row([stated, *actual])
+    rules = [("one header", F.col("n_headers") != 1, F.col("n_headers")), ("schema version", ~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)), F.col("schema_version"))]
+    rules += [(c.replace("_", " "), ~F.col(c).eqNullSafe(F.col(n)), F.concat_ws(",", c, n)) for c, n in names.items()]
+    listed = F.array(*[F.struct(F.lit(r).alias("rule"), bad.alias("bad"), d.cast("string").alias("detail")) for r, bad, d in rules])
+    return row.select(F.explode(listed).alias("r")).where("r.bad").select("r.rule", F.lit("header").alias("key"), "r.detail")
+
+
+def metadata_violations(docs: DataFrame, images: DataFrame, relation: DataFrame, header: DataFrame | None = None, manifest: DataFrame | None = None) -> DataFrame:
     """V1: documents (doc_row, doc_key), images (image_row, image_path, doc_rows), relation (doc_row, image_row).
 
-    Rules: dense document ids, unique keys, unique paths, owner lists not empty, distinct and of
-    known documents, relation and owner lists the same, every document with an image.
+    Rules: dense document and image ids, unique keys, unique paths, owner lists not empty,
+    distinct and of known documents, relation and owner lists the same, every document with an
+    image; with a header also its version, counts and hash (header_violations).
     """
+    def dense(df: DataFrame, row: str, rule: str, key: str) -> DataFrame:
+        span = df.agg(F.min(row).alias("lo"), F.max(row).alias("hi"), F.count("*").alias("n"), F.count_distinct(row).alias("d"))
+        return violation(span.where("n > 0 AND (lo <> 0 OR hi <> n - 1 OR d <> n)"), rule, F.lit(key), F.concat_ws(",", "lo", "hi", "n", "d"))
+
     owners = images.select("image_row", F.explode(F.array_distinct("doc_rows")).alias("doc_row")).where("doc_row IS NOT NULL")
     known = docs.select("doc_row")
-    span = docs.agg(F.min("doc_row").alias("lo"), F.max("doc_row").alias("hi"), F.count("*").alias("n"), F.count_distinct("doc_row").alias("d"))
     listed, related = owners.withColumn("_o", F.lit(1)), relation.select("doc_row", "image_row").distinct().withColumn("_r", F.lit(1))
     apart = listed.join(related, ["doc_row", "image_row"], "full").where("_o IS NULL OR _r IS NULL")
     return together([
-        violation(span.where("n > 0 AND (lo <> 0 OR hi <> n - 1 OR d <> n)"), "dense document ids", F.lit("documents"), F.concat_ws(",", "lo", "hi", "n", "d")),
+        *([] if header is None else [header_violations(header, docs, images, relation, manifest)]),
+        dense(docs, "doc_row", "dense document ids", "documents"),
+        dense(images, "image_row", "dense image ids", "images"),
         violation(repeated(docs, ["doc_key"]), "unique document key", F.col("doc_key"), F.col("n")),
         violation(repeated(images, ["image_path"]), "unique image path", F.col("image_path"), F.col("n")),
         violation(images.where("doc_rows IS NULL OR size(doc_rows) = 0"), "image with owner", F.col("image_row")),
@@ -109,6 +136,53 @@ def contract_mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFram
     return both.where("left IS NULL OR right IS NULL OR left <> right").select(key, "field", "left", "right")
 
 
+def startup_counts(vectors_of: dict[str, DataFrame], owners: dict[str, DataFrame], vec: str = "embedding") -> DataFrame:
+    """V4: (modality, n_rows, dimension, n_expected, complete): the vectors of each modality against the rows they belong to."""
+    def part(m: str) -> DataFrame:
+        n = owners[m].agg(F.count("*").alias("n_expected"))
+        v = vectors_of[m].agg(F.count("*").alias("n_rows"), F.max(F.size(vec)).cast("bigint").alias("dimension"))
+        return one_row([v, n]).select(F.lit(m).alias("modality"), "n_rows", "dimension", "n_expected", (F.col("n_rows") == F.col("n_expected")).alias("complete"))
+
+    return together([part(m) for m in vectors_of])
+
+
+def startup_faults(vectors_of: dict[str, DataFrame], owners: dict[str, DataFrame], contracts: DataFrame, model: str, vec: str = "embedding") -> DataFrame:
+    """V4: what must not be when a search starts: rules as violations, keyed by modality.
+
+    contracts: (modality, model_fingerprint, data_manifest_hash, dimension, normalization). Rules:
+    a contract per modality, its model is the one that is loaded, dimensions and data are the
+    same everywhere, as many vectors as rows, all of the contract's dimension and in unit length.
+    """
+    counts = startup_counts(vectors_of, owners, vec).join(contracts.withColumnRenamed("dimension", "stated"), "modality", "left")
+    other = contracts.agg(F.count_distinct("dimension").alias("d"), F.count_distinct("data_manifest_hash").alias("h"))
+    each = [
+        violation(counts.where("model_fingerprint IS NULL"), "contract", F.col("modality")),
+        violation(counts.where(F.col("model_fingerprint") != model), "loaded model", F.col("modality"), F.col("model_fingerprint")),
+        violation(counts.where("NOT complete"), "a vector for every row", F.col("modality"), F.concat_ws(",", "n_rows", "n_expected")),
+        violation(counts.where("lower(normalization) <> 'l2'"), "normalization", F.col("modality"), F.col("normalization")),
+        violation(other.where("d > 1"), "one dimension", F.lit("contracts"), F.col("d")),
+        violation(other.where("h > 1"), "one data manifest", F.lit("contracts"), F.col("h")),
+    ]
+    for m, v in vectors_of.items():
+        sizes = v.groupBy(F.coalesce(F.size(vec), F.lit(-1)).alias("_s")).agg(F.count("*").alias("_n")).withColumn("modality", F.lit(m)).join(contracts, "modality")
+        wrong = sizes.where(F.col("_s") != F.col("dimension").cast("int")).agg(F.sum("_n").alias("wrong"))
+        long = v.agg(F.count_if(~vectors.is_unit(F.col(vec))).alias("long"))
+        each += [violation(wrong.where("wrong > 0"), "vectors of the dimension", F.lit(m), F.col("wrong")), violation(long.where("long > 0"), "unit vectors", F.lit(m), F.col("long"))]
+    return together(each)
+
+
+def split_mapping(rows: DataFrame, images: DataFrame, keys: list[str], row: str, split: str = "split", time: str = "loaded_at") -> DataFrame:
+    """(row, image_split, reason) of captions against the split of their image (its first delivery).
+
+    reason: no image, caption_without_split_mapping, other split, or null. A hot image is spread by AQE's
+    skew join, as the images side has one row a key.
+    """
+    s = images.groupBy(*keys).agg(F.min_by(split, time).alias("image_split"))
+    last = F.col(keys[-1])
+    reason = F.when(last.isNull(), "no image").when(F.col("image_split").isNull(), "caption_without_split_mapping").when(F.col("image_split") != F.col(split), "other split")
+    return rows.join(s, keys, "left").select(row, "image_split", reason.alias("reason"))
+
+
 def unexpected_counts(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """V6: (keys, actual, expected) that differ; a missing side counts 0."""
     both = actual.join(expected, keys, "full").select(*keys, F.coalesce("actual", F.lit(0)).alias("actual"), F.coalesce("expected", F.lit(0)).alias("expected"))
@@ -131,8 +205,24 @@ def across_splits(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return g.groupBy(key).agg(F.count("*").alias("n_splits")).where("n_splits > 1")
 
 
+#: What of a directory is no part of its content (A25): names, endings, and folders.
+SKIPPED_NAMES = [".DS_Store", "README.md", ".gitattributes", ".gitignore"]
+SKIPPED_ENDINGS = [".tmp", ".lock", ".md", ".txt~"]
+SKIPPED_FOLDERS = [".git", ".cache", "__pycache__"]
+
+
+def content_files(files: DataFrame) -> DataFrame:
+    """Files (path, ...) without those that are no part of the content."""
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    ending = F.lit(False)
+    for e in SKIPPED_ENDINGS:
+        ending = ending | name.endswith(e)
+    return files.where(~name.isin(SKIPPED_NAMES) & ~ending & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*[F.lit(x) for x in SKIPPED_FOLDERS])))
+
+
 def directory_fingerprint(files: DataFrame) -> DataFrame:
-    """SHA-256 over `path NUL size NUL digest LF` of files (path, size, digest), by path; one directory's files."""
+    """SHA-256 over `path NUL size NUL digest LF` of files (path, size, digest), by path; one directory's files (content_files first)."""
     line = F.concat(F.col("path"), F.lit("\u0000"), F.col("size").cast("string"), F.lit("\u0000"), F.col("digest"), F.lit("\n"))
     return files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("path").alias("p"), line.alias("l")))), lambda x: x["l"]), ""), 256).alias("fingerprint"), F.count("*").alias("n_files"))
 

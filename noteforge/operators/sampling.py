@@ -76,6 +76,14 @@ def resume_mismatches(saved: dict, current: dict, fields: tuple[str, ...]) -> li
     return [f for f in fields if f not in saved or f not in current or saved[f] != current[f]]
 
 
+def resume_differences(saved: DataFrame, current: DataFrame, key: str = "field", value: str = "value") -> DataFrame:
+    """V8 over tables of (field, value): (field, saved, current) that differ or are missing on a side; both null are equal."""
+    a = saved.select(key, F.col(value).cast("string").alias("saved"), F.lit(1).alias("_a"))
+    b = current.select(key, F.col(value).cast("string").alias("current"), F.lit(1).alias("_b"))
+    both = a.join(b, key, "full")
+    return both.where("_a IS NULL OR _b IS NULL OR NOT (saved <=> current)").select(key, "saved", "current")
+
+
 def latest(df: DataFrame, time: str, name: str) -> DataFrame:
     """The row with the latest time, ties to the greater name; none of an empty table."""
     return df.orderBy(F.desc(time), F.desc(name)).limit(1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from noteforge.operators import sets
 from noteforge.operators import documents as D
 from noteforge.operators.ordering import dense_ids, running
 from noteforge.plans.base import Book
@@ -106,7 +107,7 @@ def a08_both_ways(spark, d):
 
 @query("a22_counters", "SELECT dataset, split, count(*) AS n_texts, count(DISTINCT image_id) AS n_images, CAST(sum(CASE WHEN text IS NULL OR text = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_empty FROM text_entries GROUP BY 1, 2")
 def a22_counters(spark, d):
-    return table(spark, d, "text_entries").groupBy("dataset", "split").agg(F.count("*").alias("n_texts"), F.count_distinct("image_id").alias("n_images"), F.count_if(C("text").isNull() | (C("text") == "")).alias("n_empty"))
+    return D.counters(table(spark, d, "text_entries"), ["dataset", "split"])
 
 
 @query("a23_header", f"{_WITH} SELECT 2 AS schema_version, (SELECT count(*) FROM docs) AS document_count, (SELECT count(*) FROM images) AS image_count, (SELECT count(*) FROM (SELECT DISTINCT doc_key, image_path FROM good)) AS relation_count")
@@ -129,6 +130,12 @@ def a24_manifest_hash(spark, d):
     return D.manifest_hash(_lines(spark, d), "doc_id", "line")
 
 
+@query("a24_ordered_hash", f"SELECT sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) AS manifest_hash FROM ({_LINES})")
+def a24_ordered_hash(spark, d):
+    """The hash as defined: all canonical lines in order."""
+    return D.ordered_hash(_lines(spark, d), "doc_id", "line")
+
+
 @query("k02_byte_offsets", f"SELECT doc_id, CAST(coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"begin\", size FROM (SELECT doc_id, CAST(octet_length(encode(line)) + 1 AS BIGINT) AS size FROM ({_LINES}))")
 def k02_byte_offsets(spark, d):
     return D.byte_offsets(_lines(spark, d), "doc_id", C("line"))
@@ -158,7 +165,27 @@ def s14_random_rows(spark, d):
 
 @query("s15_owner_rows", "SELECT image_row_id, list_sort(list_distinct(doc_row_ids)) AS docs FROM image_assets WHERE image_row_id % 100 = 0")
 def s15_owner_rows(spark, d):
-    return table(spark, d, "image_assets").where("image_row_id % 100 = 0").select("image_row_id", F.array_sort(F.array_distinct(F.filter("doc_row_ids", lambda x: x.isNotNull()))).alias("docs"))
+    from noteforge.sources.rows import grouped_rows
+
+    edges = table(spark, d, "image_assets").select(C("image_row_id"), F.explode_outer("doc_row_ids").alias("doc"))
+    return grouped_rows(edges, "image_row_id", "doc", "docs").where("image_row_id % 100 = 0")
+
+
+@query("s15_row_lookup", """WITH m AS (SELECT max(image_row_id) + 1 AS n FROM image_assets) SELECT DISTINCT image_row_id, u.x AS doc FROM image_assets, unnest(doc_row_ids) AS u(x), m
+    WHERE u.x IS NOT NULL AND (image_row_id IN (5, n - 1, n - 3) OR (image_row_id >= 10 AND image_row_id < 20) OR image_row_id >= n - 4)""")
+def s15_row_lookup(spark, d):
+    """Entries of rows by number, from the end and by slice."""
+    from noteforge.sources.rows import lookup
+
+    edges = table(spark, d, "image_assets").select(C("image_row_id"), F.explode_outer("doc_row_ids").alias("doc"))
+    return lookup(edges, "image_row_id", [5, -1, -3, slice(10, 20), slice(-4, None)]).where("doc IS NOT NULL").distinct()
+
+
+@query("s14_slice", "SELECT doc_id, text FROM documents WHERE doc_id >= 100 AND doc_id < 150")
+def s14_slice(spark, d):
+    from noteforge.sources.rows import rows_between
+
+    return rows_between(table(spark, d, "documents").select("doc_id", "text"), "doc_id", 100, 150)
 
 
 @query("s02_limited_scan", "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100")
@@ -169,7 +196,7 @@ def s02_limited_scan(spark, d):
 
 @query("t10_truncated", "SELECT doc_id FROM documents WHERE doc_id < 500")
 def t10_truncated(spark, d):
-    return table(spark, d, "documents").where("doc_id < 500").select("doc_id")
+    return sets.truncated(table(spark, d, "documents").select("doc_id"), "doc_id", 500)
 
 
 @query("s19_vector_scan", "SELECT row_id, len(embedding) AS dimension FROM image_embeddings WHERE embedding IS NOT NULL")
@@ -196,22 +223,22 @@ def j10_index_to_source(spark, d):
 
 @query("u1_union_distinct", "SELECT image_id FROM text_entries WHERE image_id IS NOT NULL UNION SELECT image_id FROM image_entries")
 def u1_union_distinct(spark, d):
-    return table(spark, d, "text_entries").where("image_id IS NOT NULL").select("image_id").union(table(spark, d, "image_entries").select("image_id")).distinct()
+    return sets.union_distinct(table(spark, d, "text_entries").where("image_id IS NOT NULL").select("image_id"), table(spark, d, "image_entries").select("image_id"))
 
 
 @query("u2_union_all", "SELECT dataset, image_id FROM text_entries UNION ALL SELECT dataset, image_id FROM image_entries")
 def u2_union_all(spark, d):
-    return table(spark, d, "text_entries").select("dataset", "image_id").unionByName(table(spark, d, "image_entries").select("dataset", "image_id"))
+    return sets.union_all(table(spark, d, "text_entries").select("dataset", "image_id"), table(spark, d, "image_entries").select("image_id", "dataset"))
 
 
 @query("u3_intersection", "SELECT image_path FROM documents WHERE image_path IS NOT NULL INTERSECT SELECT image_path FROM image_assets")
 def u3_intersection(spark, d):
-    return table(spark, d, "documents").where("image_path IS NOT NULL").select("image_path").intersect(table(spark, d, "image_assets").select("image_path"))
+    return sets.intersection(table(spark, d, "documents").where("image_path IS NOT NULL").select("image_path"), table(spark, d, "image_assets"))
 
 
 @query("u4_difference", "SELECT image_path FROM documents WHERE image_path IS NOT NULL EXCEPT SELECT image_path FROM image_assets")
 def u4_difference(spark, d):
-    return table(spark, d, "documents").where("image_path IS NOT NULL").select("image_path").subtract(table(spark, d, "image_assets").select("image_path"))
+    return sets.difference(table(spark, d, "documents").where("image_path IS NOT NULL").select("image_path"), table(spark, d, "image_assets"))
 
 
 @query("u5_set_equality", """SELECT (SELECT count(*) FROM (SELECT DISTINCT image_id FROM text_entries WHERE image_id IS NOT NULL EXCEPT SELECT image_id FROM image_entries)) AS only_left,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from noteforge.operators import cleaning, documents, integrity
 from noteforge.plans.base import Book, sql_nfkc
-from noteforge.plans.corpus import pairs, relation
+from noteforge.plans.corpus import PAIRS_SQL, pairs, relation
 from noteforge.plans.text_queries import _terminated
 from noteforge.session import table
 
@@ -129,9 +129,7 @@ def j05_orphans(spark, d):
 @query("j06_split_mapping", """SELECT t.entry_id, s.split AS image_split, CASE WHEN t.image_id IS NULL THEN 'no image' WHEN s.split IS NULL THEN 'caption_without_split_mapping' WHEN s.split <> t.split THEN 'other split' END AS reason
     FROM text_entries t LEFT JOIN (SELECT dataset, image_id, arg_min(split, loaded_at) AS split FROM image_entries GROUP BY 1, 2) s ON s.dataset = t.dataset AND s.image_id = t.image_id""")
 def j06(spark, d):
-    s = table(spark, d, "image_entries").groupBy("dataset", "image_id").agg(F.min_by("split", "loaded_at").alias("image_split"))
-    reason = F.when(C("image_id").isNull(), "no image").when(C("image_split").isNull(), "caption_without_split_mapping").when(C("image_split") != C("split"), "other split")
-    return table(spark, d, "text_entries").join(s, ["dataset", "image_id"], "left").select("entry_id", "image_split", reason.alias("reason"))
+    return integrity.split_mapping(table(spark, d, "text_entries"), table(spark, d, "image_entries"), ["dataset", "image_id"], "entry_id")
 
 
 @query("j13_cross_split_bytes", "SELECT sha256, count(DISTINCT split) AS n_splits FROM image_entries WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1")
@@ -152,11 +150,15 @@ def j13_texts(spark, d):
     UNION ALL SELECT 'known owner', CAST(r AS VARCHAR), CAST(d AS VARCHAR) FROM o WHERE d NOT IN (SELECT doc_id FROM documents)
     UNION ALL SELECT 'owners as related', CAST(r AS VARCHAR), CAST(d AS VARCHAR) FROM o WHERE d NOT IN (SELECT doc_id FROM documents)
     UNION ALL SELECT 'document with image', CAST(doc_id AS VARCHAR), NULL FROM documents WHERE doc_id NOT IN (SELECT d FROM rel)
+    UNION ALL SELECT 'schema version', 'header', '1' UNION ALL SELECT 'image count', 'header', count(DISTINCT image_path) || ',' || count(*) FROM a HAVING count(DISTINCT image_path) <> count(*)
+    UNION ALL SELECT 'dense image ids', 'images', min(r) || ',' || max(r) || ',' || count(*) || ',' || count(DISTINCT r) FROM a HAVING min(r) <> 0 OR max(r) <> count(*) - 1 OR count(*) <> count(DISTINCT r)
     UNION ALL SELECT 'dense document ids', 'documents', min(doc_id) || ',' || max(doc_id) || ',' || count(*) || ',' || count(DISTINCT doc_id) FROM documents HAVING min(doc_id) <> 0 OR max(doc_id) <> count(*) - 1 OR count(*) <> count(DISTINCT doc_id)) SELECT * FROM v""")
 def v1(spark, d):
     docs = table(spark, d, "documents").select(C("doc_id").alias("doc_row"), "doc_key")
     images = table(spark, d, "image_assets").select(C("image_row_id").alias("image_row"), "image_path", C("doc_row_ids").alias("doc_rows"))
-    return integrity.metadata_violations(docs, images, relation(spark, d))
+    rel = relation(spark, d)
+    header = documents.header(docs, images.select("image_path").distinct(), rel, version=1)  # an old version that counts paths
+    return integrity.metadata_violations(docs, images, rel, header)
 
 
 @query("v2_offsets", "SELECT 'every row' AS rule, CAST(image_row_id AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS detail FROM image_assets WHERE image_row_id NOT IN (SELECT image_row_id FROM image_assets, unnest(doc_row_ids) AS u(d) WHERE u.d IN (SELECT doc_id FROM documents))")
@@ -184,12 +186,34 @@ def v3(spark, d):
 @query("v4_startup", """SELECT 'text' AS modality, count(*) AS n_rows, max(len(embedding)) AS dimension, (SELECT count(*) FROM documents) AS n_expected, count(*) = (SELECT count(*) FROM documents) AS complete FROM text_embeddings
     UNION ALL SELECT 'image', count(*), max(len(embedding)), (SELECT count(*) FROM image_assets), count(*) = (SELECT count(*) FROM image_assets) FROM image_embeddings""")
 def v4(spark, d):
-    def part(m, owner):
-        n = table(spark, d, owner).agg(F.count("*").alias("n_expected"))
-        v = table(spark, d, f"{m}_embeddings").agg(F.count("*").alias("n_rows"), F.max(F.size("embedding")).cast("bigint").alias("dimension"))
-        return documents.one_row([v, n]).select(F.lit(m).alias("modality"), "n_rows", "dimension", "n_expected", (C("n_rows") == C("n_expected")).alias("complete"))
+    return integrity.startup_counts({m: table(spark, d, f"{m}_embeddings") for m in ("text", "image")}, {"text": table(spark, d, "documents"), "image": table(spark, d, "image_assets")})
+
+
+_UNIT = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)))"
+
+
+def _long_sql(m: str) -> str:
+    return f"""SELECT 'unit vectors', '{m}', CAST(count(*) AS VARCHAR) FROM {m}_embeddings WHERE embedding IS NULL OR list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) OR abs({_UNIT} - 1) > 2e-4 HAVING count(*) > 0
+    UNION ALL SELECT 'vectors of the dimension', '{m}', CAST(count(*) AS VARCHAR) FROM {m}_embeddings WHERE embedding IS NULL OR len(embedding) <> 64 HAVING count(*) > 0
+    UNION ALL SELECT 'a vector for every row', '{m}', (SELECT count(*) FROM {m}_embeddings) || ',' || count(*) FROM {'documents' if m == 'text' else 'image_assets'} HAVING count(*) <> (SELECT count(*) FROM {m}_embeddings)"""
+
 
-    return part("text", "documents").unionByName(part("image", "image_assets"))
+@query("v4_startup_faults", f"SELECT 'loaded model' AS rule, 'image' AS key, 'm2' AS detail UNION ALL SELECT 'one data manifest', 'contracts', '2' UNION ALL {_long_sql('text')} UNION ALL {_long_sql('image')}")
+def v4_faults(spark, d):
+    contracts = spark.createDataFrame([("text", "m1", "h1", 64, "L2"), ("image", "m2", "h2", 64, "l2")], "modality string, model_fingerprint string, data_manifest_hash string, dimension int, normalization string")
+    return integrity.startup_faults({m: table(spark, d, f"{m}_embeddings") for m in ("text", "image")}, {"text": table(spark, d, "documents"), "image": table(spark, d, "image_assets")}, contracts, "m1")
+
+
+@query("v8_resume", """WITH a AS (SELECT source AS field, count(*) AS v FROM documents WHERE split = 'train' GROUP BY 1), b AS (SELECT source AS field, count(*) AS v FROM documents WHERE split <> 'valid' GROUP BY 1)
+    SELECT coalesce(a.field, b.field) AS field, CAST(a.v AS VARCHAR) AS saved, CAST(b.v AS VARCHAR) AS "current" FROM a FULL JOIN b ON a.field = b.field WHERE a.v IS DISTINCT FROM b.v""")
+def v8(spark, d):
+    """A sampler's state as saved and as it would be now: rows per source."""
+    from noteforge.operators.sampling import resume_differences
+
+    def state(condition):
+        return table(spark, d, "documents").where(condition).groupBy(C("source").alias("field")).agg(F.count("*").alias("value"))
+
+    return resume_differences(state("split = 'train'"), state("split <> 'valid'"))
 
 
 @query("v5_repeated_ids", "SELECT dataset, image_id, count(*) AS n FROM image_entries GROUP BY 1, 2 HAVING count(*) > 1")
@@ -217,13 +241,21 @@ def a27(spark, d):
     return integrity.norm_range(table(spark, d, "image_embeddings"), "embedding").select(F.round("min_norm", 6).alias("min_norm"), F.round("max_norm", 6).alias("max_norm"), "n_rows")
 
 
-@query("r7_migration_report")
+_COPIES = """SELECT count(*) AS g, coalesce(sum(n_different), 0) AS diff, coalesce(max(d), 0) AS d FROM (SELECT uid, max(d) AS d, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS n_different FROM (
+    SELECT v.uid, list_max(list_transform(list_zip(embedding, f), lambda z: abs(CAST(z[1] AS DOUBLE) - z[2]))) AS d FROM {m}_v v JOIN (SELECT uid, arg_min(embedding, row_id) AS f FROM {m}_v GROUP BY 1 HAVING count(*) > 1) o ON o.uid = v.uid) GROUP BY 1)"""
+_R7 = ", ".join(f"""{m}_v AS (SELECT {m}_uid AS uid, row_id, embedding FROM {m}_embeddings WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))),
+    {m}_c AS ({_COPIES.format(m=m)}), {m}_n AS (SELECT min({_UNIT}) AS lo, max({_UNIT}) AS hi FROM {m}_v)""" for m in ("text", "image"))
+
+
+@query("r7_migration_report", f"""WITH {PAIRS_SQL}, {_R7} SELECT (SELECT count(*) FROM pairs) AS pairs, (SELECT count(DISTINCT doc_key) FROM good) AS documents, (SELECT count(DISTINCT image_path) FROM good) AS images,
+    (SELECT count(*) FROM (SELECT DISTINCT doc_key, image_path FROM good)) AS relations, t.g AS text_groups, CAST(t.diff AS BIGINT) AS text_different, t.d AS text_max_difference, i.g AS image_groups, CAST(i.diff AS BIGINT) AS image_different, i.d AS image_max_difference,
+    round(tn.lo, 6) AS text_min_norm, round(tn.hi, 6) AS text_max_norm, round(im.lo, 6) AS image_min_norm, round(im.hi, 6) AS image_max_norm FROM text_c t, image_c i, text_n tn, image_n im""")
 def r7(spark, d):
     p = pairs(spark, d)
     t, i = table(spark, d, "text_embeddings"), table(spark, d, "image_embeddings")
     return integrity.migration_report(
         p, documents.documents_of(p), documents.images_of(p), documents.relation_of(p), integrity.copies_consistency(t, "text_uid", "row_id", "embedding"), integrity.copies_consistency(i, "image_uid", "row_id", "embedding"), integrity.norm_range(t, "embedding"), integrity.norm_range(i, "embedding")
-    )
+    ).withColumns({c: F.round(c, 6) for c in ("text_min_norm", "text_max_norm", "image_min_norm", "image_max_norm")})
 
 
 @query("r11_dataset_violations", r"""WITH i AS (SELECT dataset, split, image_id, sha256 FROM image_entries), t AS (SELECT dataset, split, entry_id AS entry, text_id, image_id, text FROM text_entries)
@@ -241,7 +273,14 @@ def r11(spark, d):
     return integrity.dataset_violations(images, texts)
 
 
-@query("r12_bundle_violations")
+@query("r12_bundle_violations", """WITH t AS (SELECT dataset, CAST(text_id AS VARCHAR) AS uid FROM text_entries), i AS (SELECT dataset, CAST(image_id AS VARCHAR) AS uid FROM image_entries),
+    a AS (SELECT DISTINCT dataset, CAST(text_id AS VARCHAR) AS t, CAST(image_id AS VARCHAR) AS i FROM text_entries WHERE image_id IS NOT NULL)
+    SELECT DISTINCT * FROM (SELECT 'unique text' AS rule, concat_ws('::', dataset, uid) AS key, CAST(NULL AS VARCHAR) AS detail FROM t GROUP BY dataset, uid HAVING count(*) > 1
+    UNION ALL SELECT 'unique image', concat_ws('::', dataset, uid), NULL FROM i GROUP BY dataset, uid HAVING count(*) > 1
+    UNION ALL SELECT 'known image', concat_ws('::', dataset, i), NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM i x WHERE x.dataset = a.dataset AND x.uid = a.i)
+    UNION ALL SELECT 'known text', concat_ws('::', dataset, a.t), NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.dataset = a.dataset AND x.uid = a.t)
+    UNION ALL SELECT 'text with answer', concat_ws('::', dataset, uid), NULL FROM t WHERE uid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a WHERE a.dataset = t.dataset AND a.t = t.uid)
+      AND (dataset <> 'stalltitle' OR dataset IN (SELECT dataset FROM a)))""")
 def r12(spark, d):
     t = table(spark, d, "text_entries")
     texts = t.select("dataset", C("text_id").cast("string").alias("uid"))

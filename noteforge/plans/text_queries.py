@@ -107,11 +107,10 @@ _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x
 _BAD = "(embedding IS NULL OR list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))))"
 
 
-@query("f15_unit_vectors", f"SELECT row_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / n, 6)) AS unit FROM (SELECT row_id, embedding, greatest({_NORM}, 1e-12) AS n FROM text_embeddings WHERE NOT {_BAD})")
+@query("f15_unit_vectors", f"SELECT row_id, CAST(u.i - 1 AS INTEGER) AS position, CAST(embedding[u.i] AS DOUBLE) / n AS value FROM (SELECT row_id, embedding, greatest({_NORM}, 1e-12) AS n FROM text_embeddings WHERE NOT {_BAD}), range(1, 65) u(i) WHERE u.i <= len(embedding)")
 def f15(spark, d):
     v = table(spark, d, "text_embeddings").where(vectors.finite(C("embedding")))
-    v = v.select("row_id", "embedding", F.greatest(vectors.norm(C("embedding")), F.lit(vectors.EPS)).alias("n"))
-    return v.select("row_id", F.transform("embedding", lambda x: F.round(x.cast("double") / C("n"), 6)).alias("unit"))
+    return v.select("row_id", F.posexplode(vectors.unit(C("embedding"))).alias("position", "value"))
 
 
 @query("f16_vector_faults", f"""SELECT modality, row_id, fault FROM (SELECT 'text' AS modality, row_id, CASE WHEN embedding IS NULL THEN 'null' WHEN {_BAD} THEN 'not finite' WHEN {_NORM} <= 0 THEN 'zero' END AS fault FROM text_embeddings
@@ -168,10 +167,9 @@ def f24(spark, d):
 
 @query("f25_batches", "SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 256 AS batch, doc_id FROM documents")
 def f25(spark, d):
-    from pyspark.sql import Window
+    from noteforge.operators.ordering import batched
 
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select("source", schedules.batch_number(F.row_number().over(w) - 1, 256).alias("batch"), "doc_id")
+    return batched(table(spark, d, "documents").select("source", "doc_id"), "doc_id", 256, "batch", ["source"]).select("source", "batch", "doc_id")
 
 
 @query("s22_resolved_paths", "SELECT doc_id, CASE WHEN image_path LIKE '/%' THEN image_path ELSE '/data/' || image_path END AS path FROM documents")

@@ -22,6 +22,33 @@ def rows_between(df: DataFrame, row: str, start: int, stop: int) -> DataFrame:
     return df.where((F.col(row) >= start) & (F.col(row) < stop))
 
 
+def lookup(edges: DataFrame, row: str, wanted: list[int | slice]) -> DataFrame:
+    """The entries of rows given by number, negative ones from the end (-1 is the last row), or by slice.
+
+    A number out of range is an error, a slice stops at the ends; steps other than 1 are refused.
+    """
+    last = edges.agg(F.max(row)).first()[0]
+    n = 0 if last is None else last + 1
+    condition = F.lit(False)
+    numbers = []
+    for w in wanted:
+        if isinstance(w, slice):
+            start, stop, step = w.indices(n)
+            if step != 1:
+                raise ValueError("steps other than 1 are not supported")
+            condition = condition | ((F.col(row) >= start) & (F.col(row) < stop))
+        elif not -n <= w < n:
+            raise IndexError(w)
+        else:
+            numbers.append(w % n)
+    return edges.where(condition | F.col(row).isin(numbers) if numbers else condition)
+
+
+def grouped_rows(edges: DataFrame, row: str, other: str, name: str) -> DataFrame:
+    """(row, name): the distinct entries of each row in ascending order; a row whose entries are null has an empty list."""
+    return edges.groupBy(row).agg(F.array_sort(F.collect_set(other)).alias(name))
+
+
 def source_starts(sizes: DataFrame, source: str, n: str) -> DataFrame:
     """(source, n, start): first global index of each source, in order of name (one row per source)."""
     w = Window.partitionBy(F.lit(0)).orderBy(source).rowsBetween(Window.unboundedPreceding, -1)

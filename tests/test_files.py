@@ -219,7 +219,10 @@ def test_cut_tables_can_be_dropped(spark, tmp_path):
 
     t = cut(spark.range(5), "x")
     assert t.count() == 5
-    root = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    assert os.path.isdir(f"{root}/noteforge")
+    root = f"{shared_dir(spark)}/noteforge".removeprefix("file://").removeprefix("file:")
+    own = f"{root}/{spark.sparkContext.applicationId}"
+    other = f"{root}/another-application"
+    os.makedirs(other, exist_ok=True)
+    assert os.path.isdir(own)
     drop_cuts(spark)
-    assert not os.path.exists(f"{root}/noteforge")
+    assert not os.path.exists(own) and os.path.isdir(other)  # what others wrote stays
