@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteforge.functions.text import normalized, restored_segments, without_tags
-from noteforge.operators.ordering import dense_ids
+from noteforge.operators.ordering import dense_ids, running
+from noteforge.session import cut, salted_join
 
 
 def caption_pairs(df: DataFrame, id_col: str, text_col: str, images_col: str) -> DataFrame:
@@ -33,9 +34,9 @@ def decoded_images(lines: DataFrame, needed: DataFrame, order: str = "ordinal",
 
 
 def _first_wins(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """df with name = true for the first row of each key; keys of any frequency (aggregate and join back)."""
-    first = df.groupBy(*keys).agg(F.min(order).alias("_first"))
-    return df.join(first, keys, "left").withColumn(name, F.col(order) == F.col("_first")).drop("_first")
+    """df with name = true for the first row of each key, null without a key; hot keys are split."""
+    first = df.dropna(subset=keys).groupBy(*keys).agg(F.min(order).alias("_first"))
+    return salted_join(df, first, keys, order, how="left").withColumn(name, F.col(order) == F.col("_first")).drop("_first")
 
 
 def parsed_segment_captions(lines: DataFrame, split_ids: DataFrame, splits: tuple[str, ...] = ("train", "valid", "test")) -> DataFrame:
@@ -52,7 +53,7 @@ def parsed_segment_captions(lines: DataFrame, split_ids: DataFrame, splits: tupl
     t = lines.select("ordinal", "split", rank.alias("rank"), head.alias("source_text_id"), rest.alias("raw"), parts.alias("p"), (F.col("line").contains(" ") & (F.size(parts) == 3)).alias("formed"))
     t = t.withColumn("image", F.when(F.col("formed"), F.col("p")[0])).withColumn("lang", F.when(F.col("formed"), F.col("p")[1])).withColumn("n", F.when(F.col("formed"), F.col("p")[2]))
     t = dense_ids(t.withColumn("_o", F.col("rank") * (1 << 40) + F.col("ordinal")), "_o", "text_id").drop("_o")
-    t = t.join(split_ids.select("split", F.col("image_id").alias("image"), F.lit(True).alias("mapped")).distinct(), ["split", "image"], "left")
+    t = salted_join(t, split_ids.select("split", F.col("image_id").alias("image"), F.lit(True).alias("mapped")).distinct(), ["split", "image"], "ordinal", how="left")
     expected = F.when(F.col("split") == "test", "zhm").otherwise("zhb")
     reason = (
         F.when(~F.col("formed"), "malformed_caption").when(F.col("mapped").isNull(), "caption_without_split_mapping").when((F.col("lang") != expected) | ~F.col("n").rlike("^[0-9]+$"), "malformed_caption_id")
@@ -76,20 +77,18 @@ def parsed_scene_captions(lines: DataFrame, split_images: DataFrame, splits: tup
     head, rest = F.regexp_extract("line", r"(?s)^([^\t]*)\t(.*)$", 1), F.regexp_extract("line", r"(?s)^([^\t]*)\t(.*)$", 2)
     t = lines.select("ordinal", head.alias("source_text_id"), rest.alias("raw"), (F.col("line").contains("\t") & head.contains("#")).alias("formed"))
     t = t.withColumn("source_id", F.when(F.col("formed"), F.regexp_extract("source_text_id", r"(?s)^(.*)#[^#]*$", 1))).withColumn("n", F.regexp_extract("source_text_id", r"#([^#]*)$", 1))
-    t = t.join(split_images.select("split", "position", "source_id"), "source_id", "left")
+    t = salted_join(t, split_images.select("split", "position", "source_id"), ["source_id"], "ordinal", how="left")
     ok = F.col("formed") & F.col("split").isNotNull() & F.col("n").rlike("^[0-9]+$")
     t = _first_wins(t.withColumn("_ok", ok).withColumn("_k", F.when(ok, F.col("source_text_id"))), ["_k"], "ordinal", "_one")
     t = t.withColumn("reason", F.when(~F.col("formed"), "malformed_caption").when(F.col("_ok") & ~F.col("_one"), "duplicate_caption_id").when(~F.col("_ok"), "caption_without_split_mapping"))
+    t = cut(t, "scenes")
     kept = t.where("reason IS NULL").withColumn("text", normalized(F.col("raw"))).withColumn("reason", F.when(F.col("text") == "", "empty_clean_text"))
     rank = F.array_position(F.array(*[F.lit(s) for s in splits]), F.col("split")) - 1
     kept = kept.withColumn("_r", rank)
-    w = Window.partitionBy("_r", "position").orderBy("ordinal")  # the captions of one image
-    kept = kept.withColumn("_c", F.row_number().over(w) - 1)
+    kept = cut(dense_ids(kept, "ordinal", "_c", ["_r", "position"]), "scenes")  # the captions of one image, a hot one in parts
     per = kept.groupBy("_r", "position").agg(F.count("*").alias("_n")).withColumn("_o", F.col("_r") * (1 << 40) + F.col("position"))
-    from noteforge.operators.ordering import running
-
     starts = running(per, "_o", F.col("_n"), "_start").select("_r", "position", "_start")
-    kept = kept.join(starts, ["_r", "position"]).withColumn("text_id", F.col("_start") + F.col("_c") + 1)
+    kept = salted_join(kept, starts, ["_r", "position"], "ordinal").withColumn("text_id", F.col("_start") + F.col("_c") + 1)
     good = kept.select("ordinal", "source_text_id", "source_id", "split", "text_id", F.when(F.col("reason").isNull(), F.col("text")).alias("text"), "reason")
     rest_rows = t.where("reason IS NOT NULL").select("ordinal", "source_text_id", "source_id", "split", F.lit(None).cast("bigint").alias("text_id"), F.lit(None).cast("string").alias("text"), "reason")
     return good.unionByName(rest_rows)

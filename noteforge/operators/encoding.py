@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteforge.functions.vectors import is_unit
 from noteforge.operators.retrieval import _best, _matrix, query_blocks, ranked
 from noteforge.session import cut, ship
 from noteforge.sinks import store
+from noteforge.sinks.files import commit_files, json_text
 
 
 class Encoder(Protocol):
@@ -140,6 +143,77 @@ def probe(queries: DataFrame, index: DataFrame, row: str, centres: np.ndarray, k
     return ranked(found.select("qid", F.col(row).alias("doc_row"), F.col("score").alias("score_mm")), k).select("qid", F.col("doc_row").alias(row), F.col("score_mm").alias("score"), "rank")
 
 
+class ClusteredIndex:
+    """Vectors filed under their nearest cell, stored partitioned by cell, with the contract they were built under."""
+
+    def __init__(self, frame: DataFrame, row: str, centres: np.ndarray, contract: dict):
+        self.frame, self.row, self.centres, self.contract = frame, row, centres, contract
+
+    def find(self, nprobe: int = 8):
+        """A finder for operators.retrieval.search: (queries, k) -> (qid, row, score, rank) of the nprobe nearest cells."""
+        return lambda queries, k: probe(queries, self.frame, self.row, self.centres, k, nprobe)
+
+
+#: Vectors that must find themselves before an index is put in place.
+CHECKED = 200
+
+
+def write_index(vectors: DataFrame, row: str, path: str, contract: dict, cells: int | None = None, sample: int = 50_000, seed: int = 1) -> ClusteredIndex:
+    """Builds, checks and commits the index of (row, v); an earlier one at `path` stays until the new one is in its place.
+
+    Refused: a contract without its fields, vectors of another dimension or not in unit length,
+    repeated or null rows. The cells are fitted on a seeded sample of at most `sample` vectors
+    (their number is the root of the rows unless given), every vector is filed. What was written is read back:
+    as many rows, and CHECKED seeded vectors find themselves (or an equal one) first.
+    """
+    spark = vectors.sparkSession
+    missing = [f for f in ("model_fingerprint", "data_manifest_hash", "dimension", "normalization") if not contract.get(f)]
+    if missing:
+        raise ValueError(f"the contract lacks {', '.join(missing)}")
+    if str(contract["normalization"]).lower() != "l2":
+        raise ValueError("the contract is not of unit vectors")
+    source = cut(vectors.select(F.col(row).cast("bigint").alias(row), F.col("v").cast("array<double>").alias("v")), "vectors")
+    size = F.coalesce(F.size("v"), F.lit(-1))
+    n, wrong, long, distinct = source.agg(F.count("*"), F.count_if(size != int(contract["dimension"])), F.count_if(~is_unit(F.col("v"))), F.count_distinct(row)).first()
+    if wrong or long:
+        raise ValueError(f"{wrong} vectors are not of dimension {contract['dimension']}, {long} not in unit length")
+    if distinct != n:
+        raise ValueError("rows repeat or are null")
+    centres = fit_cells(source, cells or max(1, int(n**0.5)), sample, seed)
+    staging = f"{path}.building"
+    store.delete(spark, staging)
+    try:
+        indexed(source, row, centres).repartition("cell").write.partitionBy("cell").parquet(f"{staging}/cells")
+        store.write_text(spark, f"{staging}/index.json", json_text({**contract, "row": row, "count": n, "centres": centres.tolist()}))
+        built = open_index(spark, staging)
+        if built.frame.count() != n:
+            raise ValueError("the index reads back other rows than were written")
+        asked = source.withColumn("_o", F.xxhash64(F.lit(seed), row)).orderBy("_o").limit(CHECKED).select(F.col(row).alias("qid"), "v")
+        lost = asked.join(probe(asked, built.frame, row, centres, 1, 1).where("score >= 0.999999"), "qid", "left_anti").count() if n else 0
+        if lost:
+            raise ValueError(f"{lost} vectors do not find themselves")
+        commit_files(spark, [(staging, path)])
+    except BaseException:
+        store.delete(spark, staging)
+        raise
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str, contract: dict | None = None) -> ClusteredIndex:
+    """The index at a path; if a contract is given, one that differs in a field is refused."""
+    known = json.loads(store.read_text(spark, f"{path}/index.json"))
+    for field in ("model_fingerprint", "data_manifest_hash", "dimension", "normalization"):
+        if contract is not None and str(contract.get(field)).lower() != str(known.get(field)).lower():
+            raise ValueError(f"{field} is {known.get(field)} in the index and {contract.get(field)} here")
+    row = known["row"]
+    files = f"{path}/cells"
+    if known["count"]:
+        frame = spark.read.schema(f"`{row}` bigint, v array<double>, cell bigint").parquet(files).select("cell", row, "v")
+    else:
+        frame = spark.createDataFrame([], f"cell bigint, `{row}` bigint, v array<double>")
+    return ClusteredIndex(frame, row, np.array(known["centres"], np.float64), known)
+
+
 def image_faults(images: DataFrame, least_side: int = 32) -> DataFrame:
     """(path, sha256, fault) of image payloads (path, size, content): empty, not decodable, too small.
 

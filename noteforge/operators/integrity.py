@@ -205,20 +205,23 @@ def across_splits(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return g.groupBy(key).agg(F.count("*").alias("n_splits")).where("n_splits > 1")
 
 
-#: What of a directory is no part of its content (A25): names, endings, and folders.
-SKIPPED_NAMES = [".DS_Store", "README.md", ".gitattributes", ".gitignore"]
-SKIPPED_ENDINGS = [".tmp", ".lock", ".md", ".txt~"]
-SKIPPED_FOLDERS = [".git", ".cache", "__pycache__"]
+# Files of a model directory that decide what it does, by name and ending, and those that never count.
+EXCLUDED_FILES = ["model_fingerprint.json", "export_manifest.json", "embedding_meta.json", "index_meta.json"]
+CONTENT_NAMES = [
+    "config.json", "generation_config.json", "preprocessor_config.json", "processor_config.json", "retrieval_config.json",
+    "tokenizer.json", "tokenizer_config.json", "special_tokens_map.json", "vocab.txt", "vocab.json", "merges.txt",
+    "added_tokens.json", "sentencepiece.bpe.model", "spiece.model",
+]
+CONTENT_ENDINGS = [".safetensors", ".bin", ".pt", ".pth"]
 
 
 def content_files(files: DataFrame) -> DataFrame:
-    """Files (path, ...) without those that are no part of the content."""
-    parts = F.split("path", "/")
-    name = F.element_at(parts, -1)
-    ending = F.lit(False)
-    for e in SKIPPED_ENDINGS:
-        ending = ending | name.endswith(e)
-    return files.where(~name.isin(SKIPPED_NAMES) & ~ending & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*[F.lit(x) for x in SKIPPED_FOLDERS])))
+    """Of files (path, ...) those that decide what a model does: named or ended so, or an index of split weights."""
+    name = F.element_at(F.split("path", "/"), -1)
+    kept = name.isin(CONTENT_NAMES) | name.rlike(r"^(model|pytorch_model)(-.*|\..*\.index)\.json$")
+    for ending in CONTENT_ENDINGS:
+        kept = kept | name.endswith(ending)
+    return files.where(kept & ~name.isin(EXCLUDED_FILES))
 
 
 def directory_fingerprint(files: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ WIDTH = 1 << 18
 def running(df: DataFrame, order: str, value: Column, name: str, keys: list[str] | None = None, width: int = WIDTH) -> DataFrame:
     """df with the exclusive running sum of value, in order of a unique integer column, per keys.
 
-    Null values count 0; null keys are a group of their own. The buckets' table has at most
-    one row per key and bucket.
+    Null values count 0; null keys are a group of their own. Sums of the buckets are summed
+    again over buckets of buckets, so sparse order values (times, hashes) do not bring a row
+    for each of theirs into one task; only the upper sums, a row per width^2 order values, meet.
     """
     keys = keys or []
     t = df.withColumn("_b", F.floor(F.col(order) / width)).withColumn("_v", F.coalesce(value, F.lit(0)))
@@ -26,7 +27,12 @@ def running(df: DataFrame, order: str, value: Column, name: str, keys: list[str]
     for i, k in enumerate(ks):
         t = t.withColumn(names[i], k)
     before = t.groupBy(*names, "_b").agg(F.sum("_v").alias("_t"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy(*(names or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    before = before.withColumn("_bb", F.floor(F.col("_b") / width))
+    rest = (Window.unboundedPreceding, -1)
+    upper = before.groupBy(*names, "_bb").agg(F.sum("_t").alias("_t"))
+    upper = upper.select(*names, "_bb", F.coalesce(F.sum("_t").over(Window.partitionBy(*(names or [F.lit(0)])).orderBy("_bb").rowsBetween(*rest)), F.lit(0)).alias("_above"))
+    lower = F.coalesce(F.sum("_t").over(Window.partitionBy(*names, "_bb").orderBy("_b").rowsBetween(*rest)), F.lit(0))
+    before = before.withColumn("_lower", lower).join(upper, [*names, "_bb"]).select(*names, "_b", (F.col("_above") + F.col("_lower")).alias("_before"))
     inside = Window.partitionBy(*names, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     return t.join(before, [*names, "_b"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_b", "_v", "_before", "_in", *names)

@@ -194,6 +194,25 @@ def s02_limited_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", "source").orderBy("doc_id").limit(100)
 
 
+@query("s10_pair_relation", """SELECT DISTINCT 'muge:' || image_id AS image_id, 'muge:' || text_id AS text_id, min(text) AS text FROM text_entries WHERE image_id IS NOT NULL AND text_id IS NOT NULL GROUP BY 1, 2""")
+def s10_pair_relation(spark, d):
+    from noteforge.sources.files import scan_pairs
+
+    return scan_pairs(table(spark, d, "text_entries"), "image_id", "text_id", "text", "muge")
+
+
+@query("s11_pair_at", "SELECT 'muge:' || image_id AS image_uid, 'muge:' || text_id AS text_uid, text, raw_text AS payload FROM text_entries WHERE entry_id IN (7, (SELECT max(entry_id) FROM text_entries))")
+def s11_pair_at(spark, d):
+    """The pairs 7 and -1, their payload as delivered: other alphabet, no padding."""
+    from noteforge.sources.files import decoded_pair, pair_at
+
+    t = table(spark, d, "text_entries")
+    n = t.agg(F.max("entry_id")).first()[0] + 1
+    both = pair_at(t, "entry_id", 7, n).unionByName(pair_at(t, "entry_id", -1, n))
+    sent = F.rtrim(F.translate(F.base64(F.encode("raw_text", "UTF-8")), "+/", "-_"), F.lit("="))
+    return decoded_pair(both.withColumn("image", sent), "muge").withColumn("payload", F.decode("payload", "UTF-8"))
+
+
 @query("t10_truncated", "SELECT doc_id FROM documents WHERE doc_id < 500")
 def t10_truncated(spark, d):
     return sets.truncated(table(spark, d, "documents").select("doc_id"), "doc_id", 500)

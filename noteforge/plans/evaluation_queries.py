@@ -254,13 +254,13 @@ _LOSS = "(SELECT batch, {a}, ln(sum(exp(logit))) - ln(sum(exp(logit)) FILTER (po
 
 @query("a28_multi_positive_loss", f"WITH {_BATCH} SELECT batch, text_uid, round(loss, 6) AS loss FROM {_LOSS.format(a='text_uid')}")
 def a28(spark, d):
-    return _six(losses.multi_positive_loss(_logits(spark, d), "text_uid", ["batch"]), "loss")
+    return _six(losses.multi_positive_loss(_logits(spark, d), "text_uid", ["batch"], strict=False), "loss")
 
 
 @query("a29_symmetric_loss", f"""WITH {_BATCH}, t AS (SELECT batch, avg(loss) AS l FROM {_LOSS.format(a='text_uid')} GROUP BY 1), i AS (SELECT batch, avg(loss) AS l FROM {_LOSS.format(a='image_uid')} GROUP BY 1)
     SELECT t.batch, round(t.l, 6) AS text_loss, round(i.l, 6) AS image_loss, round((t.l + i.l) / 2, 6) AS loss FROM t JOIN i ON t.batch = i.batch""")
 def a29(spark, d):
-    return _six(losses.symmetric_loss(_logits(spark, d)), "text_loss", "image_loss", "loss")
+    return _six(losses.symmetric_loss(_logits(spark, d), strict=False), "text_loss", "image_loss", "loss")
 
 
 @query("a30_parameter_counts", "WITH p AS (SELECT source AS \"group\", CAST(sum(n_chars) AS BIGINT) AS parameters, CAST(sum(CASE WHEN split = 'train' THEN n_chars ELSE 0 END) AS BIGINT) AS trainable FROM documents GROUP BY 1), q AS (SELECT * FROM p UNION ALL SELECT 'all', CAST(sum(parameters) AS BIGINT), CAST(sum(trainable) AS BIGINT) FROM p) SELECT \"group\", parameters, trainable, round(trainable * 100.0::DOUBLE / parameters, 6) AS percent FROM q")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from noteforge.operators import retrieval as R
 from noteforge.plans.base import Book
-from noteforge.plans.corpus import IMAGE_SQL, RELATION_SQL, TEXT_SQL, relation, unit_vectors
-from noteforge.session import cut, cut_all, table
+from noteforge.plans.corpus import IMAGE_SQL, RELATION_SQL, TEXT_SQL, bundle, index, relation
+from noteforge.session import cut, table
 
 book = Book()
 query = book.query
@@ -16,11 +16,8 @@ C = F.col
 
 
 def corpus(spark, d):
-    """texts, images, edges of documents that have a usable text vector and a usable image."""
-    texts, images = cut_all(*[unit_vectors(spark, d, m, row) for m, row in (("text", "doc_row"), ("image", "image_row"))])
-    edges = relation(spark, d).join(texts.select("doc_row"), "doc_row", "left_semi").join(images.select("image_row"), "image_row", "left_semi").select("doc_row", "image_row")
-    edges = cut(edges, "edges")
-    return *cut_all(texts.join(edges, "doc_row", "left_semi"), images.join(edges, "image_row", "left_semi")), edges
+    """texts, images, edges of documents that have a usable text vector and a usable image (corpus.bundle)."""
+    return bundle(spark, d)
 
 
 def query_vectors(texts, images, edges, modes=("text", "image")):
@@ -199,6 +196,56 @@ def r6_modes(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("t4_all_cells", f"WITH {_BASE} SELECT qid, rank, image_row, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, image_row) AS INTEGER) AS rank FROM {_dots('qi', 'images', 'image_row')}) WHERE rank <= 10")
+def t4_all_cells(spark, d):
+    """The written index with all its cells probed is exact."""
+    texts, images, edges = corpus(spark, d)
+    found = index(spark, d, "image").find(1 << 30)(query_vectors(texts, images, edges, ("image",)), 10)
+    return found.select("qid", "rank", "image_row", F.round("score", 6).alias("score"))
+
+
+@query("r3_index_search")
+def r3_index(spark, d):
+    """Joint search through the written indexes, half of the cells probed."""
+    texts, images, edges = corpus(spark, d)
+    by_text, by_image = index(spark, d, "text"), index(spark, d, "image")
+    q = query_vectors(texts, images, edges)
+    return _shown(R.search(q, texts, images, edges, RECALL, 10, find_text=by_text.find(len(by_text.centres) // 2 + 1), find_image=by_image.find(len(by_image.centres) // 2 + 1)))
+
+
+@query("r6_index_recall")
+def r6_index(spark, d):
+    """Recall at 5 and 10 of each mode's search through the indexes against exact search."""
+    texts, images, edges = corpus(spark, d)
+    q = query_vectors(texts, images, edges)
+    finders = {f"find_{m}": (lambda i: i.find(len(i.centres) // 2 + 1))(index(spark, d, m)) for m in ("text", "image")}
+    parts = []
+    for mode in _MODES:
+        own = q if mode == "joint" else q.where(C("modality") == mode)
+        found = R.recall_benchmark(R.search(own, texts, images, edges, RECALL, 10), R.search(own, texts, images, edges, RECALL, 10, **finders))
+        parts.append(cut(found.select(F.lit(mode).alias("mode"), "qid", "recall_at_5", "recall_at_10"), "recall"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("r4_collected", f"WITH {_BASE}, {_cands('text', RECALL)}, {_scores('text', 'cands')} SELECT qid, count(*) AS n_results, true AS timed FROM ranked WHERE rank <= 10 GROUP BY 1")
+def r4(spark, d):
+    """All queries in one job, with its time per query."""
+    texts, images, edges = corpus(spark, d)
+    got = R.collected(query_vectors(texts, images, edges, ("text",)), lambda q: R.search(q, texts, images, edges, RECALL, 10))
+    return got.groupBy("qid").agg(F.count("*").alias("n_results"), (F.min("latency_ms") > 0).alias("timed"))
+
+
+@query("k13_gallery", f"""WITH {_BASE}, {_cands('text', RECALL)}, {_scores('text', 'cands')}, p AS (SELECT image_row_id AS image_row, image_path FROM image_assets)
+    SELECT qid, rank, r.doc_row, CAST(row_number() OVER (PARTITION BY qid, r.doc_row ORDER BY image_row) - 1 AS INTEGER) AS position, image_path, printf('#%d %.4f', rank, round(mm, 4)) AS caption FROM ranked r JOIN edges e ON e.doc_row = r.doc_row JOIN p USING (image_row) WHERE rank <= 10""")
+def k13_gallery(spark, d):
+    from noteforge.operators.evaluation import gallery
+
+    texts, images, edges = corpus(spark, d)
+    res = R.search(query_vectors(texts, images, edges, ("text",)), texts, images, edges, RECALL, 10)
+    docs = table(spark, d, "documents").select(C("doc_id").alias("doc_row"), "doc_key")
+    return gallery(R.with_metadata(res, docs, edges, table(spark, d, "image_assets").select(C("image_row_id").alias("image_row"), "image_path")))
+
+
 @query("a21_weighted_batches", """WITH b AS (SELECT event_type AS mode, user_id AS sample_size, value AS r5, value / 2 AS r10 FROM events), p AS (SELECT mode, sum(r5 * sample_size) / sum(sample_size) AS r5, sum(r10 * sample_size) / sum(sample_size) AS r10 FROM b GROUP BY 1)
     SELECT mode, round(r5, 6) AS recall_at_5, round(r10, 6) AS recall_at_10 FROM (SELECT * FROM p UNION ALL SELECT 'overall', avg(r5), avg(r10) FROM p)""")
 def a21(spark, d):

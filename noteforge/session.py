@@ -103,10 +103,12 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], id_col: str
     """Join many rows to one row per key without sending a hot key to one task.
 
     Keys with more than `hot` rows (at most rows / hot of them) are split by id_col into parts
-    of about that size, and their group rows repeated once a part; other rows move once.
+    of about that size, and their group rows repeated once a part; other rows move once. Rows
+    with a null key match nothing and are spread by id_col.
     """
     many = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*keys, F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
-    left = rows.join(many, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(id_col), parts).cast("int")).drop("_parts")
+    no_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    left = rows.join(many, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(id_col), F.when(no_key, 1 << 20).otherwise(parts)).cast("int")).drop("_parts")
     right = groups.join(many, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

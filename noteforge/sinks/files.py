@@ -15,6 +15,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteforge.sinks import store
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines in parallel; non-ASCII stays, nulls are written."""
@@ -38,13 +40,17 @@ def json_ready(x: Any) -> Any:
     return str(x)
 
 
+def json_text(data: Any) -> str:
+    return json.dumps(json_ready(data), ensure_ascii=False, indent=2, sort_keys=True)
+
+
 def write_atomic(path: str, data: Any, sync: bool = True) -> None:
     """JSON to a temporary file beside the target, then put in its place in one step."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     fd, tmp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), prefix=".", suffix=".tmp")
     try:
         with os.fdopen(fd, "w", encoding="utf-8") as f:
-            json.dump(json_ready(data), f, ensure_ascii=False, indent=2, sort_keys=True)
+            f.write(json_text(data))
             if sync:
                 f.flush()
                 os.fsync(f.fileno())
@@ -86,16 +92,15 @@ def write_bundle(spark: SparkSession, path: str, documents: DataFrame, images: D
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         back = spark.read.parquet(f"{path}/{name}")
         manifest["tables"][name] = {"rows": back.count(), "checksum": table_checksum(back)}
-    write_atomic(f"{path}/manifest.json", manifest)
+    store.write_text(spark, f"{path}/manifest.json", json_text(manifest))
     return manifest
 
 
 def verify_bundle(spark: SparkSession, path: str) -> list[str]:
     """V2: what of a bundle's tables does not agree with its manifest."""
-    if not os.path.exists(f"{path}/manifest.json"):
+    if not store.exists(spark, f"{path}/manifest.json"):
         return ["no manifest"]
-    with open(f"{path}/manifest.json", encoding="utf-8") as f:
-        manifest = json.load(f)
+    manifest = json.loads(store.read_text(spark, f"{path}/manifest.json"))
     out = [] if manifest.get("schema_version") == 2 else ["schema version: migrate the bundle"]
     for name, want in manifest["tables"].items():
         df = spark.read.parquet(f"{path}/{name}")
@@ -109,9 +114,8 @@ def build_dataset(spark: SparkSession, path: str, tables: dict[str, DataFrame],
 
     If anything differs or the check finds faults, the old directory stays.
     """
-    staging, old = f"{path}.staging", f"{path}.old"
-    for d in (staging, old):
-        shutil.rmtree(d, ignore_errors=True)
+    staging = f"{path}.staging"
+    store.delete(spark, staging)
     try:
         back = {}
         for name, df in tables.items():
@@ -122,33 +126,33 @@ def build_dataset(spark: SparkSession, path: str, tables: dict[str, DataFrame],
         if check and (faults := check(back)):
             raise ValueError("; ".join(faults))
     except BaseException:
-        shutil.rmtree(staging, ignore_errors=True)
+        store.delete(spark, staging)
         raise
-    commit_files([(staging, path)])
+    commit_files(spark, [(staging, path)])
 
 
-def commit_files(moves: list[tuple[str, str]]) -> None:
-    """Put several files or directories in place together; if one move fails all are undone."""
+def commit_files(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
+    """Put several files or directories in place together, on any file system; if one move fails all are undone."""
     done: list[tuple[str, str, str | None]] = []
     try:
         for new, target in moves:
             backup = None
-            if os.path.exists(target):
+            if store.exists(spark, target):
                 backup = f"{target}.backup"
-                shutil.rmtree(backup, ignore_errors=True)
-                os.replace(target, backup)
+                store.delete(spark, backup)
+                store.rename(spark, target, backup)
             done.append((new, target, backup))
-            os.replace(new, target)
+            store.rename(spark, new, target)
     except BaseException:
         for new, target, backup in reversed(done):
-            if os.path.exists(target) and not os.path.exists(new):
-                os.replace(target, new)
+            if store.exists(spark, target) and not store.exists(spark, new):
+                store.rename(spark, target, new)
             if backup:
-                os.replace(backup, target)
+                store.rename(spark, backup, target)
         raise
     for _, _, backup in done:
         if backup:
-            shutil.rmtree(backup) if os.path.isdir(backup) else os.unlink(backup)
+            store.delete(spark, backup)
 
 
 def markdown_table(rows: list[dict], columns: list[str]) -> str:
@@ -169,6 +173,18 @@ def query_set(spark: SparkSession, queries: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame([(i, q, "") for i, q in queries], "query_id string, query string, rule string")
 
 
+def evaluation_template(candidates: DataFrame) -> DataFrame:
+    """Candidates with an empty label and reason for each row to fill in, in order of query and rank."""
+    return candidates.withColumn("label", F.lit("")).withColumn("label_reason", F.lit("")).orderBy("query_id", "rank")
+
+
+def summary(counts: dict[str, Any], issues: DataFrame) -> str:
+    """A summary in Markdown: the counts, and how many rows each reason took out (one row per reason)."""
+    rows = [r.asDict() for r in issues.groupBy("reason").agg(F.count("*").alias("rows")).orderBy("reason").collect()]
+    parts = ["# Preparation", "", *[f"- {k}: {v}" for k, v in counts.items()], "", "## Left out", "", markdown_table(rows, ["reason", "rows"]) if rows else "none"]
+    return "\n".join(parts) + "\n"
+
+
 def reset_dir(path: str) -> None:
     """An empty directory; refuses the root and the home directory."""
     full = os.path.realpath(path)

@@ -28,6 +28,33 @@ def test_jsonl_round_trip(spark, tmp_path):
     assert S.read_jsonl(spark, f"{tmp_path}/j", df.schema, limit=1).count() == 1
 
 
+def test_jsonl_names_file_and_line(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n[3]\n')
+    with pytest.raises(ValueError, match=r"x\.jsonl:4 "):
+        S.read_jsonl(spark, f"{tmp_path}/x.jsonl", "id bigint")
+    (tmp_path / "y.jsonl").write_text("".join(f'{{"id": {i}}}\n' for i in range(50)))
+    assert [r["id"] for r in S.read_jsonl(spark, f"{tmp_path}/y.jsonl", "id bigint", limit=5).orderBy("id").collect()] == [0, 1, 2, 3, 4]
+    assert S.read_jsonl(spark, f"{tmp_path}/x.jsonl", "id bigint", strict=False, limit=2).count() == 2
+
+
+def test_pair_store(spark, tmp_path):
+    rows = [("0", "i0", "t0", "a", "aGk"), ("1", "i1", "t1", "b", "_-8="), ("num_samples", None, None, "2", None)]
+    spark.createDataFrame(rows, "key string, image_id string, text_id string, text string, image string").write.parquet(f"{tmp_path}/p")
+    pairs = S.pair_store(spark, f"{tmp_path}/p")
+    assert {tuple(r) for r in S.scan_pairs(pairs, "image_id", "text_id", "text", "s").collect()} == {("s:i0", "s:t0", "a"), ("s:i1", "s:t1", "b")}
+    assert [tuple(r) for r in S.decoded_pair(S.pair_at(pairs, "ordinal", -2, 2), "s").collect()] == [("s:i0", "s:t0", "a", b"hi")]
+    assert bytes(S.decoded_pair(S.pair_at(pairs, "ordinal", 1, 2), "s").first()["payload"]) == b"\xff\xef"
+    with pytest.raises(IndexError):
+        S.pair_at(pairs, "ordinal", 2, 2)
+    spark.createDataFrame(rows[1:], "key string, image_id string, text_id string, text string, image string").write.parquet(f"{tmp_path}/q")
+    with pytest.raises(ValueError):
+        S.pair_store(spark, f"{tmp_path}/q")
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "a.jpg").write_bytes(b"x")
+    (tmp_path / "img" / "num_images").write_bytes(b"1")
+    assert [r["name"] for r in S.image_files(spark, f"{tmp_path}/img").collect()] == ["a.jpg"]
+
+
 def test_strict_lines_and_annotations(spark, tmp_path):
     (tmp_path / "l.txt").write_bytes("gut\n".encode() + b"\xff\xfe\n")
     lines, faults = S.strict_lines(spark, f"{tmp_path}/l.txt")
@@ -67,11 +94,11 @@ def test_bundle_and_build(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/ds/t").count() == 2
 
 
-def test_commit_rolls_back(tmp_path):
+def test_commit_rolls_back(spark, tmp_path):
     for n in ("a", "b", "a.new"):
         (tmp_path / n).write_text(n)
-    with pytest.raises(OSError):
-        K.commit_files([(f"{tmp_path}/a.new", f"{tmp_path}/a"), (f"{tmp_path}/missing", f"{tmp_path}/b")])
+    with pytest.raises(Exception):
+        K.commit_files(spark, [(f"{tmp_path}/a.new", f"{tmp_path}/a"), (f"{tmp_path}/missing", f"{tmp_path}/b")])
     assert (tmp_path / "a").read_text() == "a" and (tmp_path / "b").read_text() == "b" and (tmp_path / "a.new").exists()
 
 
@@ -109,6 +136,13 @@ def test_extraction_resumes(spark, tmp_path):
     assert set(got) == {1, 2, 3} and got[1] == got[3] and abs(np.linalg.norm(got[1]) - 1) < 1e-6
 
 
+def test_a_store_that_cannot_be_read_is_no_empty_store(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        encoding.extract_into(spark.createDataFrame([(1, "a")], "id bigint, t string"), "id", "t", encoding.HashEncoder(4), f"{tmp_path}/e")
+
+
 def test_clustered_index_recall(spark, sf):
     from noteforge.operators.retrieval import top_k
     from noteforge.plans.retrieval_queries import corpus
