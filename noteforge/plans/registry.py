@@ -31,6 +31,10 @@ def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in _all().items() if v[1]}
 
 
-def entry(spark: SparkSession) -> DataFrame:
+#: Data of the flagship query, unless another directory is given.
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def entry(spark: SparkSession, sf_dir: str = SMALLEST) -> DataFrame:
     """Flagship: joint search of the smallest data directory."""
-    return retrieval_queries.QUERIES["r3_search_joint"][0](spark, "/root/testdata/sf0.001")
+    return retrieval_queries.QUERIES["r3_search_joint"][0](spark, sf_dir)
