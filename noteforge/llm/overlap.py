@@ -310,7 +310,7 @@ def text_overlaps(docs: DataFrame, share: float = SHARE, shard_chars: int = SHAR
     forms = texts.groupBy("side", "print", "form_print").agg(F.min("doc_id").alias("doc_id"))
     train = forms.where("side = 1").select(F.col("form_print").alias("train_form"), F.col("print").alias("train_print"), F.col("doc_id").alias("train_id"))
     held = forms.where("side = 0").select(F.col("form_print").alias("eval_form"), F.col("print").alias("eval_print"), F.col("doc_id").alias("eval_id"))
-    links = salted_join(held, salted_join(train, found, ["train_form"], "train_id"), ["eval_form"], "eval_id")
+    links = found.join(train, "train_form").join(held, "eval_form")  # few distinct texts share a form
     return cut(links.groupBy("train_print", "eval_print").agg(F.min("edits").alias("edits"), F.min_by("spans", "edits").alias("spans"), F.max("letters").alias("letters")), "links"), members
 
 

@@ -112,7 +112,9 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
     caps = table(spark, d, "mix_targets").select("source", "max_repeats")
     notes = table(spark, d, "documents").select("doc_id", F.col("source").alias("own"))
     used = p7_chosen(spark, d).join(notes, "doc_id", "left").join(F.broadcast(caps), "source")
-    return used.groupBy("source").agg((F.max(F.col("repeats") - F.col("max_repeats")) <= 0).alias("within_cap"), F.every(F.coalesce(F.col("own") == F.col("source"), F.lit(False))).alias("known_notes"))
+    used = used.groupBy("source").agg((F.max(F.col("repeats") - F.col("max_repeats")) <= 0).alias("cap"), F.every(F.coalesce(F.col("own") == F.col("source"), F.lit(False))).alias("known"))
+    listed = notes.select(F.col("own").alias("source")).distinct().join(F.broadcast(caps), "source").join(used, "source", "left")  # sources of no use keep every rule
+    return listed.select("source", F.coalesce("cap", F.lit(True)).alias("within_cap"), F.coalesce("known", F.lit(True)).alias("known_notes"))
 
 
 def p8_checks(spark: SparkSession, d: str) -> DataFrame:
