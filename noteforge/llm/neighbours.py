@@ -235,8 +235,9 @@ def nearest(df: DataFrame, id_col: str = "row_id", vec_col: str = "embedding", k
     hasher = Hasher(dim, plan, seed)
     every = list(range(plan.tables))
     full, copied = _survey(sized, hasher, every, max_bucket, max_copies)
-    if full and plan.probes < COPIES:  # paths get longer, so more of them are needed
+    if full:  # paths get longer, so more of them are needed
         plan = layout(rows, dim, leaf, COPIES)
+        plan = Layout(plan.axes, plan.tables + 1, COPIES)
         hasher, every = Hasher(dim, plan, seed), list(range(plan.tables))
         full, _ = _survey(sized, hasher, every, max_bucket, 0, copied)
     spare = {}
