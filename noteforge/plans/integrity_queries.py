@@ -24,8 +24,6 @@ def s04(spark, d):
 def _tsv(spark, d):
     """Image lines as delivered: id, tab, Base64 of the path; every 7th without a tab, every 11th with bad Base64."""
     t = table(spark, d, "image_entries").select("image_id", "path", F.xxhash64("dataset", "image_id", "loaded_at", "path").alias("h"), "loaded_at", "dataset")
-    from noteforge.operators.ordering import dense_ids
-
     line = F.when(C("image_id") % 7 == 0, C("path")).when(C("image_id") % 11 == 0, F.concat("image_id", F.lit("\t!"))).otherwise(F.concat("image_id", F.lit("\t"), F.base64(F.encode("path", "UTF-8"))))
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(loaded_at AS TIMESTAMP_NTZ))")
     return t.select(micros.alias("ordinal"), line.alias("line"))

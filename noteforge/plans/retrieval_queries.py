@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from noteforge.operators import retrieval as R
 from noteforge.plans.base import Book
-from noteforge.plans.corpus import IMAGE_SQL, RELATION_SQL, TEXT_SQL, bundle, index, relation
+from noteforge.plans.corpus import IMAGE_SQL, RELATION_SQL, TEXT_SQL, bundle, index
 from noteforge.session import cut, table
 
 book = Book()
