@@ -13,23 +13,42 @@ import io
 import numpy as np
 
 
+def _heads(new: np.ndarray) -> np.ndarray:
+    """Place at which the run of each begins; new marks the beginnings."""
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling."""
+    """Suffixes in order: by as many letters as fit one word, then those that are still equal by prefix doubling."""
     n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    k = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank = new
+    letter = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1  # 0 is after the end
+    base = int(letter.max()) + 1
+    key, k = letter.copy(), 1
+    while k < n and base ** (k + 1) < 2**62:
+        key *= base
+        key[: n - k] += letter[k:]
+        k += 1
+    order = np.argsort(key)
+    found = key[order]
+    new = np.concatenate(([True], found[1:] != found[:-1]))
+    rank = np.empty(n, np.int64)
+    rank[order] = _heads(new)  # the first place of all that are equal so far
+    todo = order[~(new & np.concatenate((new[1:], [True])))]
+    while len(todo):
+        second = np.zeros(len(todo), np.int64)
+        inside = todo + k < n
+        second[inside] = rank[todo[inside] + k] + 1
+        by = np.argsort(rank[todo] * (n + 1) + second)
+        todo, second = todo[by], second[by]
+        first = rank[todo]
+        new = np.concatenate(([True], first[1:] != first[:-1]))
+        group = _heads(new)
+        order[first + np.arange(len(todo)) - group] = todo
+        new |= np.concatenate(([True], second[1:] != second[:-1]))
+        rank[todo] = first + _heads(new) - group
+        todo = todo[~(new & np.concatenate((new[1:], [True])))]
         k *= 2
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
+    return order
 
 
 #: Distance of the suffix places that are kept, and of the rows from which texts are read back.

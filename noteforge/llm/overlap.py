@@ -1,7 +1,9 @@
 """Records of evaluation splits that recur in training, exactly or almost, by text or image.
 
-Evaluation texts are indexed in shards of similar length (fmindex). Training texts stream
-through the shards whose lengths can match and are cut by backward search into disjoint
+Evaluation texts are indexed in shards of similar length (fmindex), each with lists of short
+pieces (routing). Training texts are brought in order of length, so that a batch meets few
+shards, and the lists say which of them can match a text of a shard. Only those are searched:
+they are cut by backward search into disjoint
 pieces, each as short as is rare enough. One edit breaks at most one piece and moves the
 others by one place, so of any n pieces a pair within d edits keeps n - d, moved by at most
 d; pairs are counted by the pieces they keep. For the pairs that remain the evaluation text
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from noteforge.llm.fmindex import FMIndex
 from noteforge.llm.forms import content, fields
+from noteforge.llm.routing import Cut, PieceLists
 from noteforge.operators.references import trimmed
-from noteforge.session import cut, salted_join, ship
+from noteforge.session import HOT_ROWS, cut, salted_join, ship
 
 #: Most edits, as a share of the longer text.
 SHARE = 0.1
@@ -39,7 +42,9 @@ KEPT = 3
 #: Places located at once.
 PLACES = 16_384
 #: Characters of a batch of training texts.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000
+#: Letters that are searched one after the other in texts that were routed.
+LANE = 96
 #: Pairs of one key from which a join is split, and pairs of one part.
 PAIRS = 2_000_000
 
@@ -111,8 +116,28 @@ def matches(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]) -> list[
     return out
 
 
-def near_matches(index: FMIndex, texts: list[str], share: float = SHARE) -> list[tuple[int, int, int, int, int]]:
-    """(number of the text, number of the indexed text, edits, merged spans, letters in them) of all pairs within the share."""
+def shared(a: np.ndarray, b: np.ndarray, most: int, letters: int = 8) -> list[tuple[int, int]]:
+    """(place in a, place in b) of the disjoint pieces of a that b holds within so many edits and not over and over."""
+    places: dict[bytes, list[int]] = defaultdict(list)
+    text = b.astype(np.uint32).tobytes()
+    for k in range(len(b) - letters + 1):
+        places[text[4 * k : 4 * (k + letters)]].append(k)
+    text, longer = a.astype(np.uint32).tobytes(), len(b) - len(a)
+    found = []
+    for k in range(0, len(a) - letters + 1, letters):
+        there = places.get(text[4 * k : 4 * (k + letters)], ())
+        if len(there) <= RAREST:
+            found += [(k, p) for p in there if abs(p - k) + abs(longer - p + k) <= most]
+    return found
+
+
+def near_matches(index: FMIndex, texts: list[str], share: float = SHARE, among: np.ndarray | None = None, lane: int = 512) -> list[tuple[int, int, int, int, int]]:
+    """(number of the text, number of the indexed text, edits, merged spans, letters in them) of all pairs within the share.
+
+    among: the pairs that can be, in order, as number of the text x number of indexed texts + number of the indexed text;
+    texts with too few rare pieces are then compared with those alone, at once.
+    lane: letters that are searched one after the other; with few texts, short lanes keep the steps few.
+    """
     coded = [_codes(t) for t in texts]
     size = np.array([len(c) for c in coded], np.int64)
     whole = max(1, len(index.sizes))
@@ -121,8 +146,8 @@ def near_matches(index: FMIndex, texts: list[str], share: float = SHARE) -> list
     todo = np.flatnonzero(size > 0) if len(index.sizes) else np.empty(0, np.int64)
     rarest = RAREST
     xs, ys, seeds = [], [], []
-    while len(todo) and rarest <= COMMON:
-        own, begin, length, lo, hi = index.pieces([coded[i] for i in todo], rarest)
+    while len(todo) and rarest <= (COMMON if among is None else RAREST):
+        own, begin, length, lo, hi = index.pieces([coded[i] for i in todo], rarest, lane)
         n = hi - lo
         order = np.lexsort((n, own))
         own, begin, lo, n = own[order], begin[order], lo[order], n[order]
@@ -154,6 +179,9 @@ def near_matches(index: FMIndex, texts: list[str], share: float = SHARE) -> list
             new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (piece[1:] != piece[:-1])))  # a piece counts once a pair
             found, first, count = np.unique(pair, return_index=True, return_counts=True)
             held = np.add.reduceat(new.astype(np.int64), first)
+            if among is not None:
+                can = np.isin(found, among)
+                found, first, count, held = found[can], first[can], count[can], held[can]
             x, y = found // whole, found % whole
             edits = np.floor(share * np.maximum(size[x], index.sizes[y]) + 1e-9).astype(np.int64)
             for k in np.flatnonzero(held >= used[np.searchsorted(todo, x)] - edits).tolist():
@@ -163,17 +191,20 @@ def near_matches(index: FMIndex, texts: list[str], share: float = SHARE) -> list
                 seeds.append(list(zip(begin[piece[at]].tolist(), offset[at].tolist())))
         todo = todo[~ready]
         rarest *= 8
-    for i in todo.tolist():  # texts of endless repetitions have no rare pieces: all of fitting length are compared
-        larger = np.maximum(size[i], index.sizes)
-        for j in np.flatnonzero(np.abs(size[i] - index.sizes) <= np.floor(share * larger + 1e-9)).tolist():
+    for i in todo.tolist():  # texts of endless repetitions have no rare pieces: all of fitting length, or routed, are compared
+        theirs = np.arange(len(index.sizes)) if among is None else among[slice(*np.searchsorted(among, (i * whole, (i + 1) * whole)))] - i * whole
+        larger = np.maximum(size[i], index.sizes[theirs])
+        for j in theirs[np.abs(size[i] - index.sizes[theirs]) <= np.floor(share * larger + 1e-9)].tolist():
             xs.append(i)
             ys.append(j)
-            seeds.append([])
+            seeds.append([] if among is None else None)
     theirs = np.unique(np.array(ys, np.int64))
     read = dict(zip(theirs.tolist(), index.contents(theirs)))
     known: dict[int, str] = {}
     out = []
     for i, j, places in zip(xs, ys, seeds):
+        if places is None:
+            places = shared(coded[i], read[j], math.floor(share * max(size[i], index.sizes[j]) + 1e-9))
         spans = matches(coded[i], read[j], places)
         letters = sum(b - a for a, b in spans)
         edits = 0
@@ -222,8 +253,11 @@ def _band(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.lit(math.log(1.05))).cast("int")
 
 
+SHARD = "low bigint, high bigint, lists binary, blob binary, shard int"
+
+
 def _shards(evaluation: DataFrame, shard_chars: int) -> DataFrame:
-    """(shard, low, high, blob): an index of each shard; shards hold texts of similar length.
+    """(low, high, lists, blob, shard): piece lists and index of each shard; shards hold distinct texts of similar length.
 
     The driver sees one row per length band (5 % steps, so a few hundred at most).
     """
@@ -240,26 +274,29 @@ def _shards(evaluation: DataFrame, shard_chars: int) -> DataFrame:
         else:
             room -= chars
     if not base:
-        return evaluation.sparkSession.createDataFrame([], "shard int, low bigint, high bigint, blob binary")
+        return evaluation.sparkSession.createDataFrame([], SHARD)
     table = F.broadcast(evaluation.sparkSession.createDataFrame([(b, base[b], parts[b]) for b in base], "b int, base int, parts int"))
     placed = evaluation.withColumn("b", _band(F.col("size"))).join(table, "b").select((F.col("base") + F.pmod(F.xxhash64("print"), F.col("parts"))).cast("int").alias("shard"), "print", "norm", "size")
 
     def build(group: pa.Table) -> pa.Table:
-        norm = group.column("norm").to_pylist()
-        index = FMIndex([_codes(t) for t in norm], np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint8).reshape(len(norm), -1))
-        size = group.column("size").to_numpy()
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "low": pa.array([int(size.min())], pa.int64()), "high": pa.array([int(size.max())], pa.int64()), "blob": pa.array([index.dump()], pa.binary())})
+        group = group.sort_by("size")
+        coded = [_codes(t) for t in group.column("norm").to_pylist()]
+        index = FMIndex(coded, np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint8).reshape(len(coded), -1))
+        row = (len(coded[0]), len(coded[-1]), PieceLists(coded).dump(), index.dump(), group.column("shard")[0].as_py())
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+        return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names=["low", "high", "lists", "blob", "shard"])
 
-    return placed.groupBy("shard").applyInArrow(build, "shard int, low bigint, high bigint, blob binary")
+    return placed.groupBy("shard").applyInArrow(build, SHARD)
 
 
-def _read_shard(uri: str, shard: int) -> FMIndex:
+def _read_shard(uri: str, column: str) -> bytes:
+    """A column of a shard, which has a file of its own."""
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
     system, path = fs.FileSystem.from_uri(uri)
-    got = pq.read_table(path, columns=["shard", "blob"], filesystem=system, filters=[("shard", "==", shard)])
-    return FMIndex.load(got.column("blob")[0].as_py())
+    with system.open_input_file(path) as f:
+        return pq.ParquetFile(f).read([column]).column(column)[0].as_py()
 
 
 def text_overlaps(docs: DataFrame, share: float = SHARE, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -274,39 +311,52 @@ def text_overlaps(docs: DataFrame, share: float = SHARE, shard_chars: int = SHAR
     ship(spark)
     texts = cut(_texts(docs), "texts")
     members = texts.where("form = 0").select("doc_id", "side", "print")
-    firsts = texts.groupBy("side", "form_print").agg(F.min("doc_id").alias("doc_id"))
-    distinct = texts.join(firsts, ["side", "form_print", "doc_id"], "left_semi").select("side", F.col("form_print").alias("print"), "norm", "size")
-    shards = cut(_shards(distinct.where("side = 0").select("print", "norm", "size"), shard_chars), "shards")
-    where = sorted((r["low"], r["high"], r["shard"], r["f"]) for r in shards.select("low", "high", "shard", F.input_file_name().alias("f")).collect())
+    held = texts.where("side = 0")
+    firsts = held.groupBy("form_print").agg(F.min("doc_id").alias("doc_id"))
+    distinct = held.join(firsts, ["form_print", "doc_id"], "left_semi").select(F.col("form_print").alias("print"), "norm", "size")
+    shards = cut(_shards(distinct, shard_chars), "shards", ["shard"])
+    where = sorted((r["low"], r["high"], r["f"]) for r in shards.select("low", "high", F.input_file_name().alias("f")).collect())
+    # copies come one after the other and are passed over; of those with very many, all but one are left out before
+    train = texts.where("side = 1")
+    hot = F.broadcast(train.groupBy("form_print").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > HOT_ROWS).select("form_print", "first"))
+    train = train.join(hot, "form_print", "left").where("first IS NULL OR first = doc_id").select(F.col("form_print").alias("print"), "norm", "size")
+    train = train.repartitionByRange(F.col("size").desc(), "print").sortWithinPartitions(F.col("size").desc(), "print")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(prints: list, norms: list) -> pa.RecordBatch:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            sizes = np.array([len(t) for t in norms])
-            for low, high, shard, uri in where:
-                at = np.flatnonzero((sizes >= low * (1 - share) - 1) & (sizes <= high / (1 - share) + 1))
-                if not len(at):
+            pieces = Cut([_codes(t) for t in norms])
+            for low, high, uri in where:
+                first, last = np.searchsorted(pieces.size, low * (1 - share) - 1), np.searchsorted(pieces.size, high / (1 - share) + 1, "right")
+                if first == last:
                     continue
-                index = _read_shard(uri, shard)
-                for i, j, *counts in near_matches(index, [norms[k] for k in at], share):
+                x, y = PieceLists.load(_read_shard(uri, "lists")).pairs(pieces, first, last, share)
+                if not len(x):
+                    continue
+                index = FMIndex.load(_read_shard(uri, "blob"))
+                at, number = np.unique(x, return_inverse=True)
+                for i, j, *counts in near_matches(index, [norms[k] for k in at], share, np.sort(number * len(index.sizes) + y), LANE):
                     for out, value in zip(rows, (prints[at[i]], index.ids[j].tobytes(), *counts)):
                         out.append(value)
             kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names=["train_form", "eval_form", "edits", "spans", "letters"])
 
-        prints, norms, chars = [], [], 0
+        prints, norms, chars, last = [], [], 0, None
         for batch in batches:
             for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p == last:
+                    continue
+                last = p
                 prints.append(p)
                 norms.append(t)
                 chars += len(t)
                 if chars >= min(shard_chars, BATCH_CHARS):
-                    yield flush(prints, norms)
+                    yield flush(prints[::-1], norms[::-1])
                     prints, norms, chars = [], [], 0
         if prints:
-            yield flush(prints, norms)
+            yield flush(prints[::-1], norms[::-1])
 
-    found = cut(distinct.where("side = 1").select("print", "norm").mapInArrow(search, "train_form binary, eval_form binary, edits bigint, spans bigint, letters bigint"), "forms")
+    found = cut(train.select("print", "norm").mapInArrow(search, "train_form binary, eval_form binary, edits bigint, spans bigint, letters bigint"), "forms")
     forms = texts.groupBy("side", "print", "form_print").agg(F.min("doc_id").alias("doc_id"))
     train = forms.where("side = 1").select(F.col("form_print").alias("train_form"), F.col("print").alias("train_print"), F.col("doc_id").alias("train_id"))
     held = forms.where("side = 0").select(F.col("form_print").alias("eval_form"), F.col("print").alias("eval_print"), F.col("doc_id").alias("eval_id"))
